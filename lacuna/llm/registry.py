@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from lacuna.llm.chat import OP10_SQL, op10_chat_formatting
+from lacuna.llm.decontaminate import OP4_SQL, op4_decontamination
 from lacuna.llm.sharding import OP3_SQL, op3_sharding
+from lacuna.llm.simhash import op7_simhash
 
 QUERIES = {
     "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op7_simhash": op7_simhash,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL = {
     "op3_sharding": OP3_SQL,
+    "op4_decontamination": OP4_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
