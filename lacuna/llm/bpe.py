@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.llm.common import read_table
 
@@ -235,7 +236,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
             found = pa.array([enc.encode(t).astype(np.int32) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), found], names=[*names, ids])
 
-    return out.mapInArrow(run, out.schema.add(ids, "array<int>"))
+    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(ids, "array<int>"))
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -249,7 +250,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decode
             made = [enc.decode(np.array(i or [], dtype=np.uint32)) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(made, pa.string())], names=[*names, text])
 
-    return out.mapInArrow(run, out.schema.add(text, "string"))
+    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(text, "string"))
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
