@@ -35,9 +35,8 @@ HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{END}"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(data: Column) -> Column:
-    """SHA-1 as bare upper-case base32: each 5 hex digits make 4 letters."""
-    hexed = F.sha1(data)
+def base32(hexed: Column) -> Column:
+    """A SHA-1 in hex as bare upper-case base32: each 5 hex digits make 4 letters. ``hexed`` should be a column, as it is used often."""
 
     def letters(i: int) -> Column:
         n = F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int")
@@ -63,9 +62,9 @@ def chunks_of(payload: Column, chunk: int = CHUNK) -> Column:
 
 
 def with_record_types(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, payload) with payload_bytes, payload_digest, record_type and refers_to."""
-    sized = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    same = ["payload_digest", "payload_bytes"]
+    """(page_id, url, payload) with payload_bytes, payload_sha1 (hex), record_type and refers_to."""
+    sized = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_sha1", F.sha1(F.col("payload").cast("binary")))
+    same = ["payload_sha1", "payload_bytes"]
     groups = sized.where(F.col("payload_bytes") >= least).groupBy(*same).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisit = F.coalesce(F.col("first") < F.col("page_id"), F.col("first").isNotNull() & F.col("page_id").isNull())
     typed = sized.join(groups, same, "left")
@@ -79,7 +78,9 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     held = F.when(F.col("record_type") == "revisit", F.array(F.lit(""))).otherwise(chunks_of(F.col("payload"), chunk))
     rows = rows.withColumn("chunks", held).withColumn("n", F.size("chunks")).drop("payload").select("*", F.posexplode("chunks").alias("pos", "chunk")).drop("chunks")
     first = F.col("pos") == 0
-    block = F.concat(F.when(first, F.lit(HTTP)).otherwise(""), F.col("chunk"))
+    # Each digest is a column of its own before its letters are made, or it would be computed for each of them.
+    rows = rows.withColumn("block", F.concat(F.when(first, F.lit(HTTP)).otherwise(""), F.col("chunk"))).withColumn("block_sha1", F.sha1(F.col("block").cast("binary")))
+    block = F.col("block")
     record = lambda p: F.concat(F.lit("<urn:page:"), p.cast("string"), F.lit(">"))
     own = F.coalesce(record(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.col("row"), F.lit(">")))
     uri = F.regexp_replace(F.coalesce("url", F.lit("urn:none")), r"[\x00-\x20\x7F]", "%20")
@@ -95,8 +96,8 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", uri),
         field("Content-Type", F.when(first, F.lit("application/http; msgtype=response"))),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        field("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(block.cast("binary")))),
+        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("payload_sha1")))),
+        field("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32(F.col("block_sha1")))),
         field("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))),
         field("WARC-Refers-To", record(F.col("refers_to"))),
         field("WARC-Segment-Number", F.when(several, F.col("pos") + 1)),
@@ -121,7 +122,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     cut = cut.withColumn("block", F.expr("substring(cast(value as binary), octet_length(head) + 5, " + r"cast(regexp_extract(head, '\r\nContent-Length: ([0-9]+)', 1) as int))"))
     kind = field("WARC-Type")
     skip = F.when(kind == "continuation", 0).otherwise(len(HTTP))
-    chunk = F.substring(F.col("block"), skip + 1, F.octet_length("block"))
+    cut = cut.withColumn("chunk", F.substring(F.col("block"), skip + 1, F.octet_length("block")))
     return cut.select(
         field("Row-ID").alias("record"),
         field("Page-ID").cast("long").alias("page_id"),
@@ -131,8 +132,8 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
         field("Page-Refers-To").cast("long").alias("refers_to"),
         field("Payload-Length").cast("long").alias("told_bytes"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("told_digest"),
-        chunk.alias("chunk"),
-        F.sha1(chunk).alias("chunk_sha1"),
+        "chunk",
+        F.sha1("chunk").alias("chunk_sha1"),
     )
 
 
@@ -167,9 +168,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record with what its payload came to; ``sound``: as its header says. A revisit has the figures of its header."""
     chunks = read_chunks(spark, path)
     single = chunks.where("not segmented")
-    digest = F.when(F.col("kind") == "revisit", F.col("told_digest")).otherwise(base32_sha1(F.col("chunk")))
+    digest = F.when(F.col("kind") == "revisit", F.col("told_digest")).otherwise(base32(F.col("chunk_sha1")))
     size = F.when(F.col("kind") == "revisit", F.col("told_bytes")).otherwise(F.octet_length("chunk").cast("long"))
-    plain = single.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", ((size == F.col("told_bytes")) & (digest == F.col("told_digest"))).alias("sound"))
+    plain = single.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "told_bytes", "told_digest")
+    plain = plain.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", ((F.col("payload_bytes") == F.col("told_bytes")) & (F.col("payload_digest") == F.col("told_digest"))).alias("sound"))
     several = chunks.where("segmented").select("record", "chunk_no", "page_id", "chunk", "told_bytes", "told_digest")
     streamed = several.repartition("record").sortWithinPartitions("record", "chunk_no").mapInArrow(_streamed, RECORD)
     return plain.unionByName(streamed)
