@@ -236,7 +236,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
             found = pa.array([enc.encode(t).astype(np.int32) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), found], names=[*names, ids])
 
-    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(ids, "array<int>"))
+    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(ids, T.ArrayType(T.IntegerType())))
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
