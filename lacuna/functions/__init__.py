@@ -1 +1 @@
-
+"""Scalar and array expressions: Column in, Column out."""
