@@ -116,7 +116,7 @@ class QualityModel:
         return lambda text: 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * self.margin(features(text)) + self.shift))))
 
 
-def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, d: int, c: np.ndarray, epochs: int = 30, seed: int = 3) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, d: int, c: np.ndarray, epochs: int = 30, seed: int = 3, least: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of the L2-regularised squared hinge loss; rows as (columns, values), y in -1, 1, c the cost of each row."""
     w, b = np.zeros(d), 0.0
     alpha = np.zeros(len(y))
@@ -136,7 +136,7 @@ def dual_coordinate_descent(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarra
                 b += step
                 most = max(most, abs(step))
                 alpha[i] = new
-        if most < 1e-4:
+        if most < least:
             break
     return w, b
 
