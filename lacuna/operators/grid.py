@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions import arrays as A
-from lacuna.operators.separability import bin_cross_entropy2
+from lacuna.operators.separability import bin_cross_entropy2_all
 from lacuna.operators.subspace import matrix_of
 
 
@@ -29,11 +29,10 @@ def pool_arg(df: DataFrame, image: str, height: int, width: int, step: int, abso
 
 def pool_min_ce(df: DataFrame, image: str, label: str, height: int, width: int, step: int, classes: int, out: str = "pooled") -> DataFrame:
     """Each block's pixel at the position whose absolute values separate the classes best. Scores are one per position; positions are few."""
-    scores = []
-    for p in range(height * width):
-        one = df.select(F.abs(F.element_at(image, p + 1)).alias("x"), F.col(label).alias("c"))
-        scores.append(bin_cross_entropy2(one, "x", "c", classes).first()[0])
-    score = F.array(*[F.lit(float(s)) for s in scores])
+    rows = df.select(F.col(label).alias("c"), F.posexplode(image).alias("pos", "x")).where(F.col("pos") < height * width)
+    got = bin_cross_entropy2_all(rows.select(F.col("pos").alias("feature"), F.abs("x").alias("x"), "c"), classes).collect()  # one row per position
+    scores = {r["feature"]: r["score"] for r in got}
+    score = F.array(*[F.lit(float(scores.get(p, 0.0))) for p in range(height * width)])
     grid = A.blocks(score, height, width, step, lambda b: A.arg_by(b, lambda x: -x)["i"])
     picked = A.blocks(F.col(image), height, width, step, lambda b: b)
     return df.withColumn(out, F.zip_with(picked, grid, lambda b, i: F.element_at(b, i + 1)))

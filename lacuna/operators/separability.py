@@ -56,10 +56,50 @@ def interior_cuts(df: DataFrame, value: str, steps: int = 8) -> DataFrame:
     return lim.select(F.explode(F.sequence(F.lit(1), F.lit(steps - 2))).alias("i"), "lo", "hi").where(F.col("hi") > F.col("lo")).select((F.col("lo") + F.col("i") * ((F.col("hi") - F.col("lo")) / steps)).alias("bound"))
 
 
+def cut_counts(long: DataFrame, steps: int = 8) -> DataFrame:
+    """(feature, lo, hi, bin, c, n) of rows (feature, x, c): ``bin`` counts the interior cuts min + i (max - min) / steps, i = 1 .. steps - 2, at or below x.
+
+    One aggregation for all features and cuts; all that follows works on features x steps x classes rows.
+    """
+    lim = long.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    x, lo, width = F.col("x"), F.col("lo"), (F.col("hi") - F.col("lo")) / steps
+    at = sum(((x >= lo + i * width).cast("int") for i in range(1, steps - 1)), F.lit(0))
+    return long.join(F.broadcast(lim), "feature").groupBy("feature", "lo", "hi", F.when(width > 0, at).otherwise(0).alias("bin"), "c").agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row of limits per feature
+
+
+def _clipped(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0 - 1e-12)) + F.lit(1e-9)
+
+
+def best_ce_splits(counts: DataFrame, classes: int, steps: int = 8) -> DataFrame:
+    """(feature, cut, bound, weighted_ce) from :func:`cut_counts`: the interior cut of least weighted cross-entropy; ties go to the lowest. Constant features have none."""
+    sides = counts.where("hi > lo").withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(steps - 2))))
+    sides = sides.groupBy("feature", "lo", "hi", "cut", (F.col("bin") >= F.col("cut")).alias("right"), "c").agg(F.sum("n").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("feature", "cut", "c"))
+    sides = sides.withColumn("s", share)
+    p = _clipped(F.col("s") / F.sum("s").over(Window.partitionBy("feature", "cut", "right")))
+    scored = sides.withColumn("h", -F.ln(p) * F.col("n")).groupBy("feature", "lo", "hi", "cut").agg((F.sum("h") / F.sum("n") / F.ln(F.lit(float(classes)))).alias("weighted_ce"))
+    bound = F.col("lo") + F.col("cut") * ((F.col("hi") - F.col("lo")) / steps)
+    return scored.groupBy("feature").agg(F.min(F.struct("weighted_ce", "cut", bound.alias("bound"))).alias("b")).select("feature", "b.cut", "b.bound", "b.weighted_ce")
+
+
 def best_ce_split(df: DataFrame, value: str, label: str, classes: int, steps: int = 8) -> DataFrame:
-    """One row: the interior cut of least weighted cross-entropy; ties go to the lowest cut."""
-    w = weighted_ce(df, value, label, interior_cuts(df, value, steps), classes)
-    return w.agg(F.min(F.struct("weighted_ce", "bound")).alias("b")).select("b.bound", "b.weighted_ce")
+    """One row: bound and weighted_ce of the best cut of one column."""
+    long = df.select(F.lit(value).alias("feature"), F.col(value).alias("x"), F.col(label).alias("c"))
+    return best_ce_splits(cut_counts(long, steps), classes, steps).select("bound", "weighted_ce")
+
+
+def bin_cross_entropy2_all(long: DataFrame, classes: int, steps: int = 8) -> DataFrame:
+    """(feature, score) of rows (feature, x, c): cross-entropy of class shares in the two bins of the best cut, each class count over its total + 1e-5, rows normalised with + 1e-5.
+
+    A constant feature has the uniform distribution.
+    """
+    counts = cut_counts(long, steps)
+    best = best_ce_splits(counts, classes, steps).select("feature", "cut")
+    sides = counts.join(F.broadcast(best), "feature", "left").groupBy("feature", F.coalesce((F.col("bin") >= F.col("cut")).cast("int"), F.lit(-1)).alias("side"), "c").agg(F.sum("n").alias("n"))
+    shares = sides.withColumn("s", F.col("n") / (F.sum("n").over(Window.partitionBy("feature", "c")) + F.lit(1e-5)))
+    p = F.when(F.col("side") < 0, F.lit(1.0 / classes)).otherwise(F.col("s") / (F.sum("s").over(Window.partitionBy("feature", "side")) + F.lit(1e-5)))
+    return shares.withColumn("h", -F.ln(_clipped(p)) * F.col("n")).groupBy("feature").agg((F.sum("h") / F.sum("n") / F.ln(F.lit(float(classes)))).alias("score"))
 
 
 def binned(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
@@ -88,17 +128,9 @@ def bin_cross_entropy(df: DataFrame, value: str, label: str, classes: int, bins:
 
 
 def bin_cross_entropy2(df: DataFrame, value: str, label: str, classes: int, steps: int = 8) -> DataFrame:
-    """One row: cross-entropy of class shares in the two bins of the best cut, each class count over its total + 1e-5, rows normalised with + 1e-5.
-
-    A constant feature has the uniform distribution.
-    """
-    cut = best_ce_split(df, value, label, classes, steps).select("bound")
-    sides = df.select(F.col(value).alias("x"), F.col(label).alias("c")).join(F.broadcast(cut), how="left")
-    counts = sides.groupBy(F.coalesce((F.col("x") >= F.col("bound")).cast("int"), F.lit(-1)).alias("bin"), "c").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    whole = counts.withColumn("s", F.col("n") / (F.sum("n").over(Window.partitionBy("c")) + F.lit(1e-5)))
-    p = F.when(F.col("bin") < 0, F.lit(1.0 / classes)).otherwise(F.col("s") / (F.sum("s").over(Window.partitionBy("bin")) + F.lit(1e-5)))
-    clip = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0 - 1e-12)) + F.lit(1e-9)
-    return whole.withColumn("h", -F.ln(clip) * F.col("n")).agg((F.sum("h") / F.sum("n") / F.ln(F.lit(float(classes)))).alias("bin_ce2"))
+    """One row: :func:`bin_cross_entropy2_all` of one column."""
+    long = df.select(F.lit(value).alias("feature"), F.col(value).alias("x"), F.col(label).alias("c"))
+    return bin_cross_entropy2_all(long, classes, steps).select(F.col("score").alias("bin_ce2"))
 
 
 def wasserstein(df: DataFrame, value: str, group: Column) -> DataFrame:
@@ -176,8 +208,10 @@ def kmeans_bin_entropy(df: DataFrame, value: str, label: str, classes: int, bins
 
 
 def all_feature_scores(df: DataFrame, features: Sequence[str], label: str, classes: int, bins: int, mode: str = "bin2") -> DataFrame:
-    """(feature, score) of every feature: ``bin``, ``bin2`` or ``kmeans``."""
-    one = {"bin": lambda f: bin_cross_entropy(df, f, label, classes, bins).select(F.col("bin_ce").alias("score")), "bin2": lambda f: bin_cross_entropy2(df, f, label, classes).select(F.col("bin_ce2").alias("score")), "kmeans": lambda f: kmeans_bin_entropy(df, f, label, classes, bins).select(F.col("cross_entropy").alias("score"))}[mode]
+    """(feature, score) of every feature: ``bin2`` in one pass; ``bin`` and ``kmeans`` a feature at a time."""
+    if mode == "bin2":
+        return bin_cross_entropy2_all(unpivoted(df.withColumn("c", F.col(label)), features, "c"), classes)
+    one = {"bin": lambda f: bin_cross_entropy(df, f, label, classes, bins).select(F.col("bin_ce").alias("score")), "kmeans": lambda f: kmeans_bin_entropy(df, f, label, classes, bins).select(F.col("cross_entropy").alias("score"))}[mode]
     out = None
     for f in features:
         part = one(f).select(F.lit(f).alias("feature"), "score")

@@ -554,9 +554,23 @@ def lloyd_max_bounds(spark, d):
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(edges)], "i int, bound double")
 
 
-@query()
+def _bin2_sql(source: str, classes: int) -> str:
+    """Scores of rows (feature, x, c) in a table ``source``."""
+    clip = "least(greatest(p, 1e-12), 1 - 1e-12) + 1e-9"
+    return f"""lim2 AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM {source} GROUP BY 1),
+cuts2 AS (SELECT feature, i, lo + i * ((hi - lo) / 8) AS bound FROM lim2, range(1, 7) r(i) WHERE hi > lo),
+side AS (SELECT s.feature, i, x >= bound AS rgt, c, count(*)::DOUBLE AS n FROM {source} s JOIN cuts2 USING (feature) GROUP BY ALL),
+sh AS (SELECT *, n / sum(n) OVER (PARTITION BY feature, i, c) AS s, n / (sum(n) OVER (PARTITION BY feature, i, c) + 1e-5) AS s2 FROM side),
+pr AS (SELECT *, s / sum(s) OVER (PARTITION BY feature, i, rgt) AS p FROM sh),
+wce AS (SELECT feature, i, sum(-ln({clip}) * n) / sum(n) AS w FROM pr GROUP BY ALL),
+best2 AS (SELECT feature, arg_min(i, (w, i)) AS i FROM wce GROUP BY 1),
+p2 AS (SELECT feature, n, s2 / (sum(s2) OVER (PARTITION BY feature, rgt) + 1e-5) AS p FROM sh JOIN best2 USING (feature, i)),
+scores AS (SELECT feature, sum(-ln({clip}) * n) / sum(n) / ln({classes}) AS score FROM p2 GROUP BY 1)"""
+
+
+@query(f"WITH {LONG}, src AS (SELECT feature, x, l_returnflag AS c FROM long), {_bin2_sql('src', 3)} SELECT feature, {r('score')} AS score FROM scores")
 def all_feature_scores(spark, d):
-    return separability.all_feature_scores(_items(spark, d), FEATURES, "c", 3, 10, "bin2")
+    return separability.all_feature_scores(_items(spark, d), FEATURES, "c", 3, 10, "bin2").withColumn("score", rounded(F.col("score")))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -717,9 +731,11 @@ def select_positions(spark, d):
     return subspace.select_positions(scores.withColumn("channel", F.lit(0)), share=0.5)
 
 
-@query()
+@query(f"""WITH {PIXELS}, src AS (SELECT 8 * h + w AS feature, abs(v) AS x, label AS c FROM pix), {_bin2_sql('src', 10)},
+pick AS (SELECT h, w FROM (SELECT (feature // 8)::INT AS h, (feature % 8)::INT AS w, score FROM scores) QUALIFY row_number() OVER (PARTITION BY h // 2, w // 2 ORDER BY score, h, w) = 1)
+SELECT vec_id, (pix.h // 2)::INT AS h, (pix.w // 2)::INT AS w, {r('v')} AS v FROM pix JOIN pick ON pick.h = pix.h AND pick.w = pix.w""")
 def pool_min_ce(spark, d):
-    return _image_rows(grid.pool_min_ce(images(spark, d), "image", "label", 4, 4, 2, 10), "pooled", 2)
+    return _image_rows(grid.pool_min_ce(images(spark, d), "image", "label", SIDE, SIDE, 2, 10), "pooled", SIDE // 2)
 
 
 @query()
