@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import read_table
+from lacuna.llm.common import read_table, spread
 
 #: Symbols of a leaf, tokens of the first window to each side of a border, chunks in the cache of a worker.
 LEAF, REACH, CACHE = 256, 4, 250_000
@@ -287,4 +287,4 @@ def default_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    return encoding_digests(read_table(spark, sf_dir, "documents"), path or default_path())
+    return encoding_digests(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), path or default_path())

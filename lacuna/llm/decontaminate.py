@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import read_table, scratch
+from lacuna.llm.common import read_table, scratch, spread
 
 N = 10
 BLOCK_BYTES = 16 << 20
@@ -212,7 +212,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **how) -
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
     hits = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["words"])
     return found.select(

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import held_out, read_table
+from lacuna.llm.common import held_out, read_table, spread
 from lacuna.llm.labelled import labelled_sample, sampled_features, scored
 from lacuna.llm.tokencount import chunks
 
@@ -201,6 +201,6 @@ def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = with_quality(docs, fit(docs, read_table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,6 +1,6 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-1. Each text gets a fingerprint: XXH64 of every k-word shingle (repeats included), a bit is 1 if set in over half of the hashes.
+1. Each text gets a fingerprint: XXH64 of every k-word shingle (repeats included, or each shingle once), a bit is 1 if set in over half of the hashes.
 2. Distinct fingerprints, each with its smallest document id, are dealt into buckets by some of their bits. With few differing bits
    the choice is complete (:func:`exact_tables`: the bits are cut into blocks, and two fingerprints within the radius agree on
    enough whole blocks); for large radii a stated share of pairs is met (:func:`sampled_tables`). How many bits make a key follows from the number of fingerprints, so that
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import cut, read_table
+from lacuna.llm.common import cut, read_table, spread
 
 SEED = 42
 HOT = 1 << 16
@@ -76,10 +76,13 @@ def _widened(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, k: int, words: int = 1) -> bytes:
-    """64 x ``words`` bits, big-endian words."""
+def fingerprint(text: bytes | None, k: int, words: int = 1, distinct: bool = False) -> bytes:
+    """64 x ``words`` bits, big-endian words; ``distinct`` counts each shingle once, as the similarity of shingle sets does."""
     count, n = np.zeros((words, 64), dtype=np.int64), 0
-    for h in shingle_hashes(text or b"", k):
+    hashes = shingle_hashes(text or b"", k)
+    if distinct and (parts := list(hashes)):
+        hashes = iter([np.unique(np.concatenate(parts))])
+    for h in hashes:
         for part in np.split(h, range(1 << 16, len(h), 1 << 16)):
             for w in range(words):
                 count[w] += np.unpackbits(_widened(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
@@ -88,12 +91,12 @@ def fingerprint(text: bytes | None, k: int, words: int = 1) -> bytes:
     return bits[:, ::-1].tobytes()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as binary."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t, k, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fp = [fingerprint(t, k, words, distinct) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, fp binary")
@@ -126,9 +129,9 @@ def sampled_tables(n: int, radius: int, bits: int, found: float = 0.97, bucket:
 
 
 def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits of two texts whose shingle sets have this Jaccard similarity: the mean and one standard deviation."""
+    """Differing bits of two texts whose shingle sets have this Jaccard similarity: the mean and 1.4 standard deviations, which nine of ten such pairs keep to."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + 1.4 * math.sqrt(bits * p * (1 - p)))
 
 
 def _bit_rows(fps: np.ndarray) -> np.ndarray:
@@ -333,11 +336,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, words: int = 4, radius: int | None = None, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, fp, component_id. Default: five-word shingles, 256 bits, the radius of a similarity of 0.8."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, words: int = 4, radius: int | None = None, similarity: float = 0.8, distinct: bool = True, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, fp, component_id. Default: sets of five-word shingles, 256 bits, the radius of a similarity of 0.8."""
     bits, width = 64 * words, 8 * words
     radius = radius_for(similarity, bits) if radius is None else radius
-    fps = cut(fingerprints(docs, doc_id, text, k, words))
+    fps = cut(fingerprints(docs, doc_id, text, k, words, distinct))
     reps = cut(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")))
     n = reps.count()
     tables = exact_tables(n, radius, bits) if bits // (radius + 1) >= 8 else sampled_tables(n, radius, bits)
@@ -355,6 +358,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = near_duplicates(docs, k=4, words=1, radius=4)
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(docs, k=4, words=1, radius=4, distinct=False)
     return out.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

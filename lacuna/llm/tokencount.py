@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import read_table
+from lacuna.llm.common import read_table, spread
 
 NODES = 600_000
 #: Pre-tokens of more characters are not kept in the trie.
@@ -159,4 +159,4 @@ def default_path() -> str:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    return count_tokens(read_table(spark, sf_dir, "documents"), path or default_path())
+    return count_tokens(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), path or default_path())

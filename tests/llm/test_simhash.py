@@ -51,7 +51,7 @@ def docs():
 def test_query_equals_brute_force(spark):
     rows = docs()
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, fp int, component_id string")
-    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in S.near_duplicates(df, k=4, words=1, radius=4).collect()}
+    got = {r["doc_id"]: (r["fp"], r["component_id"]) for r in S.near_duplicates(df, k=4, words=1, radius=4, distinct=False).collect()}
     fps = {i: brute_fp(t) for i, t in rows}
     comp = brute_components(fps, 4)
     assert {i: (int.from_bytes(f, "big"), c) for i, (f, c) in got.items()} == {i: (fps[i], comp[i]) for i in fps}
@@ -118,9 +118,9 @@ def test_long_text_in_pieces(monkeypatch):
 
 def test_empty_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "q"), (7, "other words are here now")], "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(df, k=4, words=1, radius=4).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(df, k=4, words=1, radius=4, distinct=False).collect()), key=repr)
     assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None), (7, 7)], key=repr)
-    assert S.near_duplicates(df.limit(0), k=4, words=1, radius=4).count() == 0
+    assert S.near_duplicates(df.limit(0), k=4, words=1, radius=4, distinct=False).count() == 0
     assert S.near_duplicates(df.limit(0)).count() == 0
 
 
