@@ -67,8 +67,9 @@ def spline_series(t: np.ndarray, v: np.ndarray, mean: float) -> np.ndarray:
 
 def impute_spline(df: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """``imputed`` by a spline per (episode, variable). A group is one episode with all its variables: fewer, larger groups for the Python workers."""
-    base = with_var_mean(df, means).select("episode_id", "var", "t", "seq", "v", F.coalesce("__mean", F.lit(0.0)).alias("__mean"))
-    schema = T.StructType(base.drop("__mean").schema.fields[:]).add("imputed", "double")
+    df = df.drop("imputed")
+    base = with_var_mean(df, means).select(*df.columns, F.coalesce("__mean", F.lit(0.0)).alias("__mean"))
+    schema = T.StructType(df.schema.fields[:]).add("imputed", "double")
 
     def fill(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["var", "t", "seq"], kind="stable", ignore_index=True)
@@ -86,7 +87,7 @@ def impute_kmeans(df: DataFrame, half: int = 3, bins: int = 4, kernels: int = 16
     Spline and confidence are computed once and kept. Patches of all series are ordered by falling confidence and cut into bins of equal size; each bin gets its
     own subspace and clusters.
     """
-    filled = durable(window_confidence(impute_spline(df, means).withColumn("__obs", F.col("v")), half))
+    filled = durable(window_confidence(impute_spline(df, means), half))
     w = Window.partitionBy("episode_id", "var").orderBy("t", "seq")
     rows = filled.withColumn("idx", F.row_number().over(w) - 1).withColumn("len", F.count(F.lit(1)).over(Window.partitionBy("episode_id", "var")))
     cut = sliding_patches(filled, half, value="imputed").join(rows.select("episode_id", "var", "idx", "conf"), ["episode_id", "var", "idx"])

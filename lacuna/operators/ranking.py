@@ -102,3 +102,8 @@ def top_union(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
 def gain_by_variable(importance: DataFrame) -> DataFrame:
     """(var, gain): importances of (var, pos, gain) summed over positions."""
     return importance.groupBy("var").agg(F.sum("gain").alias("gain"))
+
+
+def top_variables(gains: DataFrame, k: int) -> DataFrame:
+    """(var, gain, kept): whether a variable is among the k of largest gain. One row per variable."""
+    return gains.withColumn("kept", F.row_number().over(Window.orderBy(F.desc("gain"), "var")) <= k)

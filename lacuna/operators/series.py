@@ -151,6 +151,13 @@ def padded_series(df: DataFrame, length: int, side: str = "left", fill: float |
     return got.select(*KEY, (F.concat(gap, kept) if side == "left" else F.concat(kept, gap)).alias("series"))
 
 
+def input_blocks(df: DataFrame, blocks: Sequence[str] = ("value", "mask", "interval")) -> DataFrame:
+    """(episode_id, var, t, seq) with the chosen blocks of a model's input: values (gaps as 0), masks, intervals."""
+    made = {"value": F.coalesce("v", F.lit(0.0)), "mask": F.col("v").isNotNull(), "interval": F.col("interval")}
+    base = obs_interval(df) if "interval" in blocks else df
+    return base.select("episode_id", "var", "t", "seq", *[made[b].alias(b) for b in blocks])
+
+
 def last_rows(df: DataFrame, *values: str, key: str = "episode_id", first: bool = False) -> DataFrame:
     """The values of each episode's last (or first) row in the order of (t, seq)."""
     pick = F.min_by if first else F.max_by

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import arrays as A
 from lacuna.functions import scalar as C
-from lacuna.operators import classify, evaluate, grid, joins, modelled, ordering, ranking, sampling, separability, series, stats, subspace
+from lacuna.operators import classify, evaluate, grid, joins, layers, modelled, ordering, ranking, sampling, separability, series, stats, subspace
 from lacuna.plans.tables import FEATURES, GRID, LABELS, LONG, OBS, PIXELS, PROBS, SIDE, VARIABLES, episode_labels, images, observations, probabilities, r, rounded, table
 from lacuna.sources.episodes import EYE_OPENING
 
@@ -314,6 +314,18 @@ def cluster_temporal_mean(spark, d):
     return joins.cluster_temporal_mean(p, "patch").select("bin_id", "cluster_id", rounded(F.col("mean")).alias("mean"))
 
 
+@query(f"WITH {GRID} SELECT episode_id, var, {r('t')} AS t, {r('coalesce(v, 0)')} AS value, (v IS NOT NULL)::INT AS mask, {r('t - coalesce(last_value(CASE WHEN v IS NOT NULL THEN t END IGNORE NULLS) ' + _B + ', 0)')} AS interval FROM grid")
+def input_blocks(spark, d):
+    b = series.input_blocks(_grid(spark, d))
+    return b.select("episode_id", "var", rounded(F.col("t")).alias("t"), rounded(F.col("value")).alias("value"), F.col("mask").cast("int").alias("mask"), rounded(F.col("interval")).alias("interval"))
+
+
+@query("WITH g AS (SELECT event_type AS var, sum(value) AS gain FROM events GROUP BY 1), top AS (SELECT var FROM g ORDER BY gain DESC, var LIMIT 2) SELECT var, var IN (SELECT var FROM top) AS kept FROM g")
+def top_variables(spark, d):
+    gains = ranking.gain_by_variable(observations(spark, d).select("var", F.col("seq").alias("pos"), F.col("v").alias("gain")))
+    return ranking.top_variables(gains, 2).select("var", "kept")
+
+
 @query()
 def impute_spline(spark, d):
     return _cells(modelled.impute_spline(_grid(spark, d)), "imputed")
@@ -797,6 +809,25 @@ def lnt_projection(spark, d):
     return subspace.projected(items, FEATURES, theta).select("l_orderkey", "l_linenumber", rounded(F.col("projection")).alias("projection"))
 
 
+@query("SELECT true AS exact, (1 + 4) * (4 * 4 + 4 + 1) AS parameters")
+def layer_roundtrip(spark, d):
+    stack = layers.LayerStack((subspace.Hop(2, channelwise=False), subspace.Hop(2)), (SIDE, SIDE, 1)).fit(images(spark, d), "image")
+    back = stack.apply(stack.apply(images(spark, d), "image", "f"), "f", "b", inverse=True)
+    worst = F.max(F.array_max(F.zip_with("image", "b", lambda x, y: F.abs(x - y))))
+    return back.agg((worst < 1e-5).alias("exact")).withColumn("parameters", F.lit(stack.parameters))
+
+
+@query(f"WITH {PIXELS} SELECT k::INT AS k, {r('var_pop(v)')} AS variance FROM px GROUP BY px.k")
+def coefficient_variance(spark, d):
+    return layers.coefficient_variance(images(spark, d), "image").withColumn("variance", rounded(F.col("variance")))
+
+
+@query(f"WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS t FROM embeddings) SELECT vec_id, {r('t / 64 * 8')} AS dc FROM s")
+def global_saab(spark, d):
+    _, out = layers.global_transform(images(spark, d), "image", (SIDE, SIDE, 1), absolute=True)
+    return out.select("vec_id", rounded(F.element_at("features", 1)).alias("dc"))
+
+
 # ------------------------------------------------------------------ classifiers
 
 
