@@ -197,8 +197,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 
 def remove_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents without any hit, with their columns."""
-    found = find_contamination(docs.withColumn("__kept", F.struct("*")), items, text, **how)
-    return found.where(F.size("hit_spans") == 0).select("__kept.*")
+    if {c.lower() for c in docs.columns} & set(RESULT):  # these names are taken: the rows travel beside the result
+        found = find_contamination(docs.withColumn("__kept", F.struct("*")), items, text, **how)
+        return found.where(F.size("hit_spans") == 0).select("__kept.*")
+    return find_contamination(docs, items, text, **how).where(F.size("hit_spans") == 0).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
