@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import held_out, read_table, spread
 from lacuna.llm.labelled import labelled_sample, sampled_features, scored
-from lacuna.llm.tokencount import chunks
+from lacuna.llm.tokencount import PIECE
 
 PER_CLASS, FEATURES, LEAST_DOCS = 4000, 4096, 4
 THRESHOLD = 0.5
@@ -59,27 +59,55 @@ def word_features(word: str) -> tuple[int, ...]:
     return (_code("w", word), *(_code(f"p{n}", word[:n]) for n in (4, 5) if len(word) > n))
 
 
+#: ASCII letters stay, other ASCII becomes blank; bytes of other characters stay.
+_LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
+
+
+#: Bytes of ASCII and of U+00C0 to U+027F, which are letters but for the signs of multiplication and division.
+_PLAIN = bytes((*range(0xC0), *range(0xC3, 0xCA)))
+
+
+def distinct_words(text: str) -> set[bytes]:
+    """The distinct lower-case words of a text, in UTF-8: runs of letters.
+
+    The short way treats every character beyond ASCII as a letter, so it is taken only where all of these are.
+    """
+    out: set[bytes] = set()
+    at = 0
+    while at < len(text):
+        end = len(text) if len(text) - at <= PIECE else max(text.rfind(" ", at, at + PIECE), text.rfind("\n", at, at + PIECE)) + 1
+        if end <= at:  # a word longer than a piece
+            end = min((p for c in " \n" if (p := text.find(c, at + PIECE)) >= 0), default=len(text) - 1) + 1
+        low = text[at:end].lower()
+        raw = low.encode("utf-8", "surrogatepass")
+        if raw.translate(None, _PLAIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+            out.update(w.encode("utf-8", "surrogatepass") for w in _WORD.findall(low))
+        else:
+            out.update(raw.translate(_LETTERS).split())
+        at = end
+    return out
+
+
 class Features:
-    """Features of texts; those of a chunk (what stands between white space) are kept in a bounded cache. ``only``: features that matter."""
+    """Features of texts; those of a word are kept in a bounded cache. ``only``: features that matter."""
 
     def __init__(self, only: frozenset[int] | None = None):
         self.only, self.cache = only, {}
 
-    def of_chunk(self, chunk: str) -> tuple[int, ...]:
-        found = tuple(f for w in _WORD.findall(chunk.lower()) for f in word_features(w))
+    def of_word(self, word: bytes) -> tuple[int, ...]:
+        found = word_features(word.decode("utf-8", "surrogatepass"))
         return found if self.only is None else tuple(f for f in found if f in self.only)
 
     def __call__(self, text: str) -> set[int]:
         cache, out = self.cache, set()
         if len(cache) > CACHE:
             cache.clear()
-        for part in chunks(text):
-            for c in set(part):
-                f = cache.get(c)
-                if f is None:
-                    f = cache[c] = self.of_chunk(c)
-                if f:
-                    out.update(f)
+        for w in distinct_words(text):
+            f = cache.get(w)
+            if f is None:
+                f = cache[w] = self.of_word(w)
+            if f:
+                out.update(f)
         return out
 
 

@@ -118,3 +118,11 @@ def test_query_columns(spark, sf):
         rows = out.collect()
         n = spark.read.parquet(f"{sf}/documents.parquet").count()
         assert len(rows) == n and all(r["held_out"] == held(r["doc_id"]) for r in rows)
+
+
+def test_words_of_both_ways_agree(monkeypatch):
+    texts = ["Ça, l'été! été2b x_y", "a\u2019b \u00abc\u00bb d\u00a0e", "日本語。テスト", "Straße\nÉTÉ" * 50, "", "\x00", "İi ŉ ΑΣ ж\u0301", "x" * 40 + " y", "a×b÷c é", "ɐ ƀ"]
+    want = [{w.encode() for w in toxicity._WORD.findall(t.lower())} for t in texts]
+    assert [toxicity.distinct_words(t) for t in texts] == want
+    monkeypatch.setattr(toxicity, "PIECE", 8)
+    assert [toxicity.distinct_words(t) for t in texts] == want
