@@ -1,6 +1,6 @@
 """Quality by naive Bayes support vectors.
 
-Features are indicators of n-grams (n = 1 to 3) over the shapes of chunks (what stands between white space): letter case, digits, other characters as
+Features are indicators of n-grams (n = 1 to 3) over the shapes of chunks (what stands between ASCII white space): letter case, digits, signs as
 they are at its ends, and whether the chunk repeats one of the two before it. An indicator says that an n-gram makes up at least one of some shares of the text's n-grams, so
 that a rare mark in a long text is another feature than one at every word. Indicators are scaled by their class log-count ratio; a linear hinge-loss model over these is
 fitted by dual coordinate descent, and a logistic curve through its margins gives the score.
@@ -8,7 +8,7 @@ fitted by dual coordinate descent, and a logistic curve through its margins give
 The model is fitted on a bounded sample (``PER_CLASS`` labelled rows of each class, outside the held-out fold). All documents are scored over their whole texts.
 
 Defined cases: null and empty texts have no n-grams and the score of the bias; very long texts are read in pieces (an n-gram does not run across two
-pieces of a million characters); a sample without both classes gives its own share of good rows as every score (1 without rows: nothing is rejected); repeated rows are scored alike;
+pieces of a million bytes); a sample without both classes gives its own share of good rows as every score (1 without rows: nothing is rejected); repeated rows are scored alike;
 extra columns are carried along.
 """
 
@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,58 +26,81 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import held_out, read_table, spread
 from lacuna.llm.labelled import labelled_sample, sampled_features, scored
-from lacuna.llm.tokencount import chunks
 
 PER_CLASS, THRESHOLD = 3000, 0.3
 CACHE = 300_000
+#: Bytes of a text that are split at once.
+PIECE = 1 << 20
 #: Shares of a text's n-grams at which an indicator is set; 0: the n-gram occurs at all.
 SHARES = (0.0, 0.01, 0.05, 0.2, 0.5)
 N = 3
 
 
-def shape(chunk: str) -> str:
-    """Case and kind of a chunk: its letters as one class, then its outer characters that are neither letters nor digits, two at most at each side."""
-    core = chunk.strip("".join({c for c in (*chunk[:3], *chunk[-3:]) if not c.isalnum()}))
-    at = chunk.find(core) if core else len(chunk)
-    head, tail = chunk[:at], chunk[at + len(core) :]
+#: A byte's class: U and l for ASCII letters, N for digits, h for bytes of other characters; white space and signs stay as they are.
+_CLASS = bytes(0x68 if b >= 0x80 else 0x55 if chr(b).isupper() else 0x6C if chr(b).islower() else 0x4E if chr(b).isdigit() else b for b in range(256))
+_INNER = b"UlNh"
+
+
+def shape(classes: bytes) -> bytes:
+    """The shape of a chunk, given by the classes of its bytes: one letter for its inside, then its outer signs, two at most at each side.
+
+    U: upper case, T: begins with an upper-case letter, l: other letters, N: digits, M: anything else; + marks a long one.
+    """
+    core = classes.lstrip(_SIGNS)
+    head = classes[: len(classes) - len(core)]
+    core = core.rstrip(_SIGNS)
+    tail = classes[len(head) + len(core) :]
+    inside = set(core)
     if not core:
-        kind = ""
-    elif core.isalpha():
-        kind = "U" if len(core) > 1 and core.isupper() else "T" if core[0].isupper() else "l"
-        kind += "+" if len(core) > 20 else ""
+        kind = b""
+    elif inside <= set(b"Ulh"):
+        kind = b"l" if 0x55 not in inside else b"U" if 0x6C not in inside and len(core) > 1 else b"T" if core[0] == 0x55 else b"l"
+        kind += b"+" if len(core) > 20 else b""
     else:
-        kind = "N" if core.isdigit() else "M"
-    return f"{head[:2]}{kind}{tail[-2:]}"
+        kind = b"N" if inside == {0x4E} else b"M"
+    return head[:2] + kind + tail[-2:]
 
 
+_SIGNS = bytes(b for b in range(0x80) if b not in _INNER)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces of bounded size, cut at white space."""
+    at = 0
+    while len(raw) - at > PIECE:
+        end = max(raw.rfind(b" ", at, at + PIECE), raw.rfind(b"\n", at, at + PIECE)) + 1
+        if end <= at:
+            end = min((p for c in (b" ", b"\n") if (p := raw.find(c, at + PIECE)) >= 0), default=len(raw) - 1) + 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
 class Shapes:
-    """64-bit features of a text; the codes of chunks are kept in a bounded cache."""
+    """64-bit features of a text; the codes of byte-class patterns, of which there are few, are kept in a bounded cache."""
 
     def __init__(self):
-        self.cache: dict[str, int] = {}
+        self.cache: dict[bytes, int] = {}
 
-    def _codes(self, part: list[str]) -> np.ndarray:
+    def _codes(self, piece: bytes) -> np.ndarray:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        for c in set(part):
-            if c not in cache:
-                cache[c] = zlib.crc32(shape(c).encode("utf-8", "surrogatepass")) << 2
-        code = np.fromiter(map(cache.__getitem__, part), dtype=np.uint64, count=len(part))
-        again = np.zeros(len(part), dtype=np.uint64)
-        again[1:] = [a == b for a, b in zip(part, part[1:], strict=False)]
-        again[2:] |= np.array([a == b for a, b in zip(part, part[2:], strict=False)], dtype=np.uint64) << np.uint64(1)
+        part, patterns = piece.split(), piece.translate(_CLASS).split()
+        for c in set(patterns) - cache.keys():
+            cache[c] = zlib.crc32(shape(c)) << 2
+        n = len(part)
+        code = np.fromiter(map(cache.__getitem__, patterns), dtype=np.uint64, count=n)
+        again = np.zeros(n, dtype=np.uint64)
+        again[1:] = np.fromiter(map(eq, part, part[1:]), dtype=bool, count=max(n - 1, 0))
+        again[2:] |= np.fromiter(map(eq, part, part[2:]), dtype=bool, count=max(n - 2, 0)).astype(np.uint64) << np.uint64(1)
         return code + again
 
     def __call__(self, text: str) -> np.ndarray:
         grams: list[list[np.ndarray]] = [[] for _ in range(N)]
-        for part in chunks(text):
-            if not part:
-                continue
-            code = h = self._codes(part)
+        for piece in pieces(text.encode("utf-8", "surrogatepass")):
+            code = h = self._codes(piece)
             for n in range(N):
                 if n:
                     h = h[:-1] * _GOLDEN + code[n:]
