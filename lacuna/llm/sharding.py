@@ -4,10 +4,9 @@ Every record key draws one exponential variate per shard from a hash of (key, sh
 variate, divided by the shard's weight, is smallest. Only the key and the list of shards decide, so a new shard takes
 records into itself alone, about its share of the weight, and no record moves between old shards.
 
-Slots number the records of each shard from 0 without gaps. No task ever holds a whole shard: records fall into
-``buckets`` ranges of a second hash (of key and content, so that neither one hot key nor one hot text fills a range),
-ranges are counted with map-side combining, the counts (at most shards x buckets rows, a fixed bound) give each range
-its first slot, and a window numbers records within a range.
+Slots number the records of each shard from 0 without gaps. No task ever holds a whole shard: equal rows are counted first, with map-side
+combining; records fall into ``buckets`` ranges of a second hash (of key and content, so that neither one hot key nor one hot text fills a
+range); the sizes of the ranges (at most shards x buckets rows, a fixed bound) give each its first slot, and a window numbers records within it.
 
 Defined cases: a null key hashes like the empty string; a null text has 0 bytes and the CRC of the empty text; repeated
 rows keep one slot each; an empty table gives an empty result; extra columns of the input are carried along unless
@@ -21,10 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import read_table
+from lacuna.llm.common import cut, read_table
 
 SHARDS = 40
 BUCKETS = 1024
+#: Slots of one record's repeats that are made at once.
+STEP = 100_000
 #: Bits of the hash that a draw uses; a double holds them exactly.
 DRAW_HEX, DRAW_RANGE = 13, float(1 << 52)
 
@@ -44,16 +45,20 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_min(scored)["s"]
 
 
-def with_slots(df: DataFrame, shard: str, spread: Column, order: Sequence[str], buckets: int = BUCKETS, slot: str = "slot") -> DataFrame:
-    """Adds gapless numbers from 0 within each shard; ``spread`` is an integer that scatters records over ranges."""
-    ranged = df.withColumn("__bucket", F.pmod(spread, F.lit(buckets)).cast("int"))
-    counts = ranged.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+def with_slots(df: DataFrame, shard: str, scatter: Column, order: Sequence[str], times: str, buckets: int = BUCKETS, slot: str = "slot") -> DataFrame:
+    """Gapless numbers from 0 within each shard: each row of ``df`` gets ``times`` of them and becomes as many rows. ``scatter`` is an integer that spreads records over ranges."""
+    ranged = df.withColumn("__bucket", F.pmod(scatter, F.lit(buckets)).cast("int"))
+    counts = ranged.groupBy(shard, "__bucket").agg(F.sum(times).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     # At most shards x buckets rows: a bound that the parameters fix, whatever the input.
     placed = ranged.join(F.broadcast(first), [shard, "__bucket"])
-    within = Window.partitionBy(shard, "__bucket").orderBy(*order)
-    return placed.withColumn(slot, F.col("__first") + F.row_number().over(within) - 1).drop("__bucket", "__first")
+    within = Window.partitionBy(shard, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    start = placed.withColumn("__start", F.col("__first") + F.coalesce(F.sum(times).over(within), F.lit(0)))
+    # Repeats are told apart in two steps, so that no array grows with their number.
+    steps = start.withColumn("__step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / STEP))))
+    last = F.least(F.col(times), (F.col("__step") + 1) * STEP) - 1
+    return steps.withColumn("__i", F.explode(F.sequence(F.col("__step") * STEP, last))).withColumn(slot, F.col("__start") + F.col("__i")).drop("__bucket", "__first", "__start", "__step", "__i", times)
 
 
 def shard_records(df: DataFrame, key: str = "doc_id", text: str = "text", weights: Sequence[float] = (1.0,) * SHARDS, grown: Sequence[float] | None = None, buckets: int = BUCKETS, keep: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +77,9 @@ def shard_records(df: DataFrame, key: str = "doc_id", text: str = "text", weight
         rendezvous(k, grown).alias("grown_shard"),
         F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), k).cast("binary")), 1, 8), 16, 10).cast("long").alias("__h"),
     )
-    out = with_slots(rows, "shard", F.col("__h") + F.col("text_crc32"), ["__h", key, "text_crc32", "size"], buckets)
+    # Texts are read once; equal rows become one with their number, so that repeats of one record never meet as rows.
+    distinct = cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__times")))
+    out = with_slots(distinct, "shard", F.col("__h") + F.col("text_crc32"), ["__h", key, "text_crc32", "size"], "__times", buckets)
     return out.drop("__h")
 
 

@@ -38,3 +38,12 @@ def test_same_shard_whatever_the_partitions(spark):
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     a = rows_of(sharding.shard_records(df.repartition(1)))
     assert a == rows_of(sharding.shard_records(df.repartition(7)))
+
+
+def test_many_repeats_of_one_record(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "STEP", 7)
+    df = spark.range(500).select(F.when(F.col("id") < 300, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    by = {}
+    for r in sharding.shard_records(df).collect():
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, by.values())) == 500 and all(sorted(s) == list(range(len(s))) for s in by.values())
