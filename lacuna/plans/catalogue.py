@@ -609,12 +609,12 @@ def top_pair_counts(spark, d):
     return evaluate.top_pair_counts(probabilities(spark, d), F.col("p"), 10)
 
 
-@query(f"WITH {_ORDERED}, top AS (SELECT vec_id, any_value(label) AS label, max(c) FILTER (k = 1) AS a, max(c) FILTER (k = 2) AS b FROM o GROUP BY 1) SELECT vec_id, CASE label WHEN 3 THEN 0 ELSE 1 END AS group_label FROM top WHERE label IN (3, 5)")
+@query("SELECT vec_id, CASE label WHEN 3 THEN 0 ELSE 1 END AS group_label FROM embeddings WHERE label IN (3, 5)")
 def class_pair_filter(spark, d):
     return evaluate.class_group(images(spark, d), "label", (3, 5)).select("vec_id", "group_label")
 
 
-@query(f"WITH {_ORDERED}, top AS (SELECT vec_id, any_value(label) AS label, max(c) FILTER (k = 1) AS a, max(c) FILTER (k = 2) AS b FROM o GROUP BY 1), best AS (SELECT a AS x, b AS y FROM top GROUP BY ALL ORDER BY count(*) DESC, x, y LIMIT 1) SELECT vec_id, label FROM top WHERE a = 0 AND b = 1 AND label IN (0, 1)")
+@query(f"WITH {_ORDERED}, top AS (SELECT vec_id, any_value(label) AS label, max(c) FILTER (k = 1) AS a, max(c) FILTER (k = 2) AS b FROM o GROUP BY 1) SELECT vec_id, label FROM top WHERE a = 0 AND b = 1 AND label IN (0, 1)")
 def class_pair_test(spark, d):
     return evaluate.class_group(probabilities(spark, d), "label", (0, 1), F.col("p")).select("vec_id", "label")
 

@@ -127,3 +127,35 @@ def test_samples(spark):
     assert [r["n"] for r in sampling.balanced_sample(df, "c", "id", 7).groupBy("c").agg(F.count("*").alias("n")).collect()] == [7, 7, 7]
     n = {r["split"]: r["count"] for r in sampling.hash_split(df, "id").groupBy("split").count().collect()}
     assert sum(n.values()) == 300 and 200 < n["train"] < 280
+
+
+def test_small_helpers(spark):
+    from lacuna.functions import scalar as C
+    from lacuna.operators import classify, joins, series, stats
+
+    df = spark.createDataFrame([(1, 0.0, 1.0, None), (1, 1.0, None, 4.0), (1, 2.0, 3.0, None), (2, 0.0, None, 2.0)], "episode_id long, row double, a double, b double")
+    got = {(r["episode_id"], r["row"]): (r["a"], r["b"]) for r in series.interpolate_by_row(df, ["a", "b"], "row").collect()}
+    assert got == {(1, 0.0): (1, 4), (1, 1.0): (2, 4), (1, 2.0): (3, 4), (2, 0.0): (None, 2)}
+    assert [r["a"] for r in classify.column_means(df, ["a"]).orderBy("episode_id", "row").collect()] == [1, 2, 3, 2]
+    flagged, names = classify.with_missing_flags(df, ["a"])
+    assert names == ["a", "a__gap"] and flagged.where("a__gap = 1").count() == 2
+    p = spark.createDataFrame([([0.1, 0.7, 0.2], 2), ([0.5, 0.4, 0.1], 0)], "p array<double>, y int")
+    assert evaluate.topk_accuracy(p, F.col("p"), F.col("y"), 1).first()[0] == 0.5
+    assert [r[0] for r in p.select(A.mark_top(F.col("p"), 1)).collect()] == [[-1, 1, -1], [1, -1, -1]]
+    assert [r[0] for r in p.select(C.one_hot(F.col("y"), 3)).collect()] == [[0, 0, 1], [1, 0, 0]]
+    assert p.where(C.all_of(F.col("y") == 2, F.lit(True))).count() == 1 and p.where(C.any_of(F.col("y") == 2, F.col("y") == 0)).count() == 2
+    assert joins.without_listed(df, [1]).count() == 1
+    scores = spark.createDataFrame([(0, i, float(i)) for i in range(8)] + [(1, 0, 0.0)], "channel int, pos int, score double")
+    assert [r[0] for r in subspace.gated_channels(scores, 7.0).collect()] == [0] and subspace.select_positions(scores, below=2.0).count() == 3
+    assert stats.drop_const_patch(spark.createDataFrame([([0.0, 0.0],), ([1.0, 0.0],)], "v array<double>"), "v").count() == 1
+
+
+def test_multiclass_models(spark):
+    rng = np.random.default_rng(7)
+    rows = [(float(rng.normal() + 4 * (i % 3)), float(rng.normal()), i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    from lacuna.operators import classify
+
+    for kind, how in (("forest", {"numTrees": 10}), ("logistic", {}), ("gbt_multi", {"maxIter": 2})):
+        out = classify.fit(df, ["a", "b"], "y", kind, **how).transform(df)
+        assert out.where("prediction = y").count() > 120
