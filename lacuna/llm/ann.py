@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import read_table
+from lacuna.llm.common import arrow_map, read_table
 
 M, FOUND, GROWTH = 56, 0.985, 1.2
 BLOCK, QUERIES, SAMPLE = 8192, 4096, 1024
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = M, fou
                 flat = [(int(i), v, d) for i, found in zip(ids, best, strict=True) for d, v in found]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.int64()), pa.array([x[2] for x in flat], pa.float64())], names=["query_id", "vec_id", "score"])
 
-        return same.mapInArrow(scan, FOUND_ROWS)
+        return arrow_map(same, scan, FOUND_ROWS)
 
     for r in queries.toLocalIterator():
         held.append(r)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import read_table, spread
+from lacuna.llm.common import arrow_map, read_table, spread
 
 #: Symbols of a leaf, tokens of the first window to each side of a border, chunks in the cache of a worker.
 LEAF, REACH, CACHE = 256, 4, 250_000
@@ -236,7 +236,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids
             found = pa.array([enc.encode(t).astype(np.int32) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), found], names=[*names, ids])
 
-    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(ids, T.ArrayType(T.IntegerType())))
+    return arrow_map(out, run, T.StructType(out.schema.fields[:]).add(ids, T.ArrayType(T.IntegerType())))
 
 
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -250,7 +250,7 @@ def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decode
             made = [enc.decode(np.array(i or [], dtype=np.uint32)) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(made, pa.string())], names=[*names, text])
 
-    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(text, "string"))
+    return arrow_map(out, run, T.StructType(out.schema.fields[:]).add(text, "string"))
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -276,7 +276,7 @@ def encoding_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
                 of_text.append(dt.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_tokens, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, DIGESTS)
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, DIGESTS)
 
 
 def default_path() -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import read_table, scratch, spread
+from lacuna.llm.common import arrow_map, read_table, scratch, spread
 
 N = 10
 BLOCK_BYTES = 16 << 20
@@ -191,7 +191,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
                 arrays = [*(batch.column(c) for c in carried), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *RESULT])
 
-        last = out.mapInArrow(scan, schema)
+        last = arrow_map(out, scan, schema)
     return last
 
 

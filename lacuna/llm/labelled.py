@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import held_out
+from lacuna.llm.common import arrow_map, held_out
 
 #: A document's features beyond this number: those with the smallest hashes are kept, for learning only.
 MOST_FEATURES = 1 << 14
@@ -44,7 +44,7 @@ def sampled_features(sample: DataFrame, features: Callable[[str], np.ndarray]) -
                 found.append(f)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "y", "f"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, f array<long>")
+    rows = arrow_map(sample.select("doc_id", "y", "text"), run, "doc_id long, y int, f array<long>")
     once = rows.groupBy("doc_id").agg(F.min(F.struct("y", "f")).alias("r")).select("doc_id", "r.y", "r.f").toArrow().combine_chunks()
     order = np.argsort(once.column("doc_id").to_numpy())
     y = once.column("y").to_numpy()[order]
@@ -67,4 +67,4 @@ def scored(docs: DataFrame, score: Callable[[], Callable[[str], float]], column:
             made = pa.array([of(t or "") for t in b.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), made], names=[*names, column])
 
-    return out.mapInArrow(run, T.StructType(out.schema.fields[:]).add(column, "double"))
+    return arrow_map(out, run, T.StructType(out.schema.fields[:]).add(column, "double"))

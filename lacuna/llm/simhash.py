@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import cut, read_table, spread
+from lacuna.llm.common import arrow_map, cut, read_table, spread
 
 SEED = 42
 HOT = 1 << 16
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
             fp = [fingerprint(t, k, words, distinct) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, fp binary")
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), make, "doc_id long, fp binary")
 
 
 # ---------------------------------------------------------------- which bits make a key
@@ -156,7 +156,7 @@ def bucketed(reps: DataFrame, tables: Sequence[Sequence[int]], width: int) -> Da
                 key = bits[:, cols] @ (np.int64(1) << np.arange(len(cols), dtype=np.int64)) + (np.int64(t) << np.int64(shift))
                 yield pa.RecordBatch.from_arrays([pa.array(key), b.column("fp"), b.column("rep")], names=["bucket", "fp", "rep"])
 
-    return reps.select("fp", "rep").mapInArrow(deal, "bucket long, fp binary, rep long")
+    return arrow_map(reps.select("fp", "rep"), deal, "bucket long, fp binary, rep long")
 
 
 def split_hot(rows: DataFrame, hot: int = HOT) -> DataFrame:
@@ -312,7 +312,7 @@ def links(rows: DataFrame, radius: int, width: int, block: int = 1 << 16) -> Dat
             yield out
 
     dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return dealt.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return arrow_map(dealt, compare, "a long, b long").where("a <> b").distinct()
 
 
 # ---------------------------------------------------------------- components

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import read_table, spread
+from lacuna.llm.common import arrow_map, read_table, spread
 
 NODES = 600_000
 #: Pre-tokens of more characters are not kept in the trie.
@@ -148,7 +148,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 n_tok.append(k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_pre, pa.int64()), pa.array(n_tok, pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_pretokens long, n_tokens long")
 
 
 def default_path() -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import read_table, scratch
+from lacuna.llm.common import arrow_map, read_table, scratch
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -173,7 +173,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     plain = single.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "told_bytes", "told_digest")
     plain = plain.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", ((F.col("payload_bytes") == F.col("told_bytes")) & (F.col("payload_digest") == F.col("told_digest"))).alias("sound"))
     several = chunks.where("segmented").select("record", "chunk_no", "page_id", "chunk", "told_bytes", "told_digest")
-    streamed = several.repartition("record").sortWithinPartitions("record", "chunk_no").mapInArrow(_streamed, RECORD)
+    streamed = arrow_map(several.repartition("record").sortWithinPartitions("record", "chunk_no"), _streamed, RECORD)
     return plain.unionByName(streamed)
 
 
