@@ -7,8 +7,8 @@ change of the score under these swaps, so group mentions by themselves move no s
 The model is fitted on a bounded sample (``PER_CLASS`` labelled rows of each class, outside the held-out fold) with at most ``FEATURES`` features: those with the largest
 likelihood ratio, and all identity terms. All documents are scored over their whole texts.
 
-Defined cases: null and empty texts have the score of the bias alone; very long texts are read in pieces; a sample without both classes gives its own share of
-toxic rows as every score (0 without rows); repeated rows are scored alike; extra columns are carried along.
+Defined cases: null and empty texts have the score of the bias alone; very long texts are read in pieces; a sample without both classes, or without any feature in ``LEAST_DOCS`` documents, gives its own share of
+toxic rows as every score (0 without rows; below one half in the second case); repeated rows are scored alike; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -136,6 +136,9 @@ def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, identity: Sequen
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return ToxicityModel(math.log(p / (1 - p)))
+    # A sample without any telling feature is no ground to reject: its share of toxic rows counts, kept below one half.
+    p = float(np.clip(y.mean(), 1e-3, 0.49))
+    blank = ToxicityModel(math.log(p / (1 - p)))
     doc = np.repeat(np.arange(len(y)), np.diff(starts))
     names, at = np.unique(feats, return_inverse=True)
     n1 = np.bincount(at, weights=y[doc], minlength=len(names))
@@ -146,6 +149,8 @@ def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, identity: Sequen
     gain = t1 * (p1 * np.log(p1 / p) + (1 - p1) * np.log((1 - p1) / (1 - p))) + t0 * (p0 * np.log(p0 / p) + (1 - p0) * np.log((1 - p0) / (1 - p)))
     terms = np.array(sorted({f for g in identity for t in g for f in word_features(t)}), dtype=np.int64)
     gain[n1 + n0 < LEAST_DOCS] = 0
+    if not len(gain) or gain.max() <= 0:
+        return blank
     gain[np.isin(names, terms)] = np.inf
     keep = np.sort(np.argsort(-gain, kind="stable")[:most])
     keep = keep[gain[keep] > 0]
