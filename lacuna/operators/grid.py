@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -92,10 +93,40 @@ def equalised(img: np.ndarray) -> np.ndarray:
     return np.stack([(np.searchsorted(np.sort(i.ravel()), i.ravel(), side="right") / i.size).reshape(i.shape) for i in img])
 
 
+def _seeded(img: np.ndarray, salt: int) -> list[np.random.Generator]:
+    """A generator per image that only its content and the salt decide: a repeated task makes the same images."""
+    return [np.random.default_rng((salt, zlib.crc32(np.ascontiguousarray(i).tobytes()))) for i in img]
+
+
+def cropped_at_random(img: np.ndarray, share: float = 0.875, square: bool = True, salt: int = 0) -> np.ndarray:
+    """Each (h, w) image cut to a share of its sides (of the shorter one, if square) at a place of its own, and brought back to its size."""
+    n, h, w = img.shape
+    out = []
+    for i, rng in zip(img, _seeded(img, salt), strict=True):
+        a, b = (int(min(h, w) * share),) * 2 if square else (int(h * share), int(w * rng.uniform(share, 1.0)))
+        y, x = rng.integers(0, h - a + 1), rng.integers(0, w - b + 1)
+        out.append(resized(i[None, y : y + a, x : x + b], h, w)[0])
+    return np.stack(out)
+
+
+def colour_shifted(img: np.ndarray, salt: int = 0, mean: float = 0.1, deviation: float = 0.25) -> np.ndarray:
+    """(n, h, w, 3) images moved along the principal directions of their standardised colours by normal weights, cut to 0 .. 1."""
+    out = []
+    for i, rng in zip(img, _seeded(img, salt), strict=True):
+        x = i.reshape(-1, 3)
+        centre, spread = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+        values, vectors = np.linalg.eigh(np.cov((x - centre) / spread, rowvar=False))
+        shift = vectors @ (rng.normal(mean, deviation, 3) * values)
+        out.append(np.clip(((x - centre) / spread + shift) * spread + centre, 0, 1).reshape(i.shape))
+    return np.stack(out)
+
+
 AUGMENTS = {
     "same": lambda x: x,
     "mirror": lambda x: x[:, :, ::-1],
-    "contrast": equalised,
+    "contrast": lambda x: equalised(x) ** 0.5,
+    "crop_square": cropped_at_random,
+    "crop_rectangle": lambda x: cropped_at_random(x, square=False),
     "gamma_dark": lambda x: stretched(x) ** 1.5,
     "gamma_light": lambda x: stretched(x) ** 0.75,
     "rotate_left": lambda x: rotated(x, 10.0),
@@ -103,8 +134,15 @@ AUGMENTS = {
 }
 
 
+def numbered_augments() -> dict[str, tuple[str, ...]]:
+    """Steps of the numbered modes 0 to 11: pairs of a change without and with a mirror image before it."""
+    kinds = ("same", "crop_square", "crop_rectangle", "contrast", "rotate_left", "rotate_right")
+    return {str(2 * i + m): ("mirror",) * m + (k,) for i, k in enumerate(kinds) for m in (0, 1)}
+
+
 def augment(df: DataFrame, image: str, height: int, width: int, modes: Sequence[str], *key: str) -> DataFrame:
-    """(key, mode, image): one row per mode of each image."""
+    """(key, mode, image): one row per mode of each image. A mode is a name of ``AUGMENTS`` or a number from 0 to 11."""
+    numbered = numbered_augments()
     schema = T.StructType(df.select(*key).schema.fields[:]).add("mode", "string").add(image, T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +151,32 @@ def augment(df: DataFrame, image: str, height: int, width: int, modes: Sequence[
                 continue
             x = matrix_of(b.column(image)).reshape(-1, height, width)
             for m in modes:
-                y = AUGMENTS[m](x).reshape(len(x), -1)
+                y = x
+                for step in numbered.get(m, (m,)):
+                    y = AUGMENTS[step](y)
+                y = y.reshape(len(x), -1)
                 made = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(np.ascontiguousarray(y).ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array([m] * len(y)), made], names=[*key, "mode", image])
 
     return df.select(*key, F.col(image).cast("array<double>").alias(image)).mapInArrow(run, schema)
 
 
+def colour_jitter(df: DataFrame, image: str, height: int, width: int, salt: int = 0) -> DataFrame:
+    """``df`` with the colours of its (h, w, 3) images shifted."""
+    names = df.columns
+    base = df.withColumn(image, F.col(image).cast("array<double>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y = colour_shifted(matrix_of(b.column(image)).reshape(-1, height, width, 3), salt).reshape(b.num_rows, -1)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([made if c == image else b.column(c) for c in names], names=names)
+
+    return base.mapInArrow(run, base.schema)
+
+
 def resize(df: DataFrame, image: str, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
     """``df`` with its image column at another size."""
     names = df.columns

@@ -159,3 +159,20 @@ def test_multiclass_models(spark):
     for kind, how in (("forest", {"numTrees": 10}), ("logistic", {}), ("gbt_multi", {"maxIter": 2})):
         out = classify.fit(df, ["a", "b"], "y", kind, **how).transform(df)
         assert out.where("prediction = y").count() > 120
+
+
+def test_augmentation(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random((6, 8, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in r.ravel()]) for i, r in enumerate(x)], "id long, a array<double>")
+    modes = [str(m) for m in range(12)] + ["gamma_dark"]
+    out = grid.augment(df, "a", 8, 8, modes, "id").collect()
+    assert len(out) == 6 * 13 and all(len(r["a"]) == 64 for r in out)
+    got = {(r["id"], r["mode"]): np.array(r["a"]).reshape(8, 8) for r in out}
+    assert (got[2, "1"] == x[2][:, ::-1]).all() and (got[2, "0"] == x[2]).all()
+    assert all(np.isclose(got[i, "6"].max(), 1) and got[i, "6"].min() > 0 for i in range(6))
+    c = rng.random((5, 4 * 4 * 3))
+    colour = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(c)], "id long, a array<double>")
+    once = [r["a"] for r in grid.colour_jitter(colour, "a", 4, 4).orderBy("id").collect()]
+    again = [r["a"] for r in grid.colour_jitter(colour.repartition(3), "a", 4, 4).orderBy("id").collect()]
+    assert once == again and all(0 <= v <= 1 for r in once for v in r) and once[0] != c[0].tolist()
