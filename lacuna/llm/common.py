@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lacuna.storage import durable as cut
+from lacuna.storage import shared_dir
+
+__all__ = ["arrow_map", "cut", "held_out", "read_table", "scratch", "shared_dir", "spread"]
+
 #: Bytes of an Arrow batch for the Python workers.
 BATCH = "8m"
 
@@ -32,28 +36,11 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lacuna_shared", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lacuna-")
-        spark._lacuna_shared = path
-    return path
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, kept in the checkpoint folder: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
