@@ -14,6 +14,9 @@
 Defined cases: null and wordless texts have fingerprint zero and link like any other; a text with fewer words than k is one shingle; rows with a null id take no part in
 linking, and get the component of their fingerprint if a document with an id has the same (else null); rows that repeat an id count as one
 document; an empty table gives an empty result. Very long texts are tokenised in pieces.
+
+The pipeline's stage (:func:`similar_groups`) joins texts by the Jaccard similarity of their shingle sets, and takes the above as its first search for candidates only:
+every link is verified on the whole shingle sets, and :func:`prefix_pairs` finds what SimHash did not, without any miss. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import arrow_map, cut, read_table, spread
@@ -35,6 +38,8 @@ HOT = 1 << 16
 #: Mean number of fingerprints in a bucket that the choice of key bits aims at, at most.
 BUCKET = 4096
 PIECE = 4 << 20
+#: Documents, about, whose shingles are counted to find common ones, and how many of these are told to the workers. Both bear on speed only.
+SAMPLE, COMMON = 4096, 1 << 16
 _BLANKS = b" \t\n\r\x0b\x0c"
 
 
@@ -76,12 +81,19 @@ def _widened(h: np.ndarray, word: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    parts = list(shingle_hashes(text or b"", k))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
+
+
 def fingerprint(text: bytes | None, k: int, words: int = 1, distinct: bool = False) -> bytes:
     """64 x ``words`` bits, big-endian words; ``distinct`` counts each shingle once, as the similarity of shingle sets does."""
+    return _fingerprint(iter([shingle_set(text, k)]) if distinct else shingle_hashes(text or b"", k), words)
+
+
+def _fingerprint(hashes: Iterator[np.ndarray], words: int) -> bytes:
     count, n = np.zeros((words, 64), dtype=np.int64), 0
-    hashes = shingle_hashes(text or b"", k)
-    if distinct and (parts := list(hashes)):
-        hashes = iter([np.unique(np.concatenate(parts))])
     for h in hashes:
         for part in np.split(h, range(1 << 16, len(h), 1 << 16)):
             for w in range(words):
@@ -279,6 +291,26 @@ def link_block(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 <
     return label
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], block: int = 1 << 16) -> Iterator[pa.Table]:
+    """Rows sorted by bucket and part in tables of about ``block`` rows that cut no part."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < block:
+            continue
+        table = pa.Table.from_batches(held)
+        b, p = table.column("bucket").to_numpy(), table.column("part").to_numpy()
+        border = np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1]))
+        if len(border):
+            end = int(border[-1]) + 1
+            yield table.slice(0, end)
+            held, n = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def links(rows: DataFrame, radius: int, width: int, block: int = 1 << 16) -> DataFrame:
     """(a, b), a > b: enough links between representatives to connect what lies within the radius."""
 
@@ -293,23 +325,9 @@ def links(rows: DataFrame, radius: int, width: int, block: int = 1 << 16) -> Dat
             a, c = rep[some], rep[label[some]]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["a", "b"]) if len(some) else None
 
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n < block:
-                continue
-            table = pa.Table.from_batches(held)
-            b, p = table.column("bucket").to_numpy(), table.column("part").to_numpy()
-            border = np.flatnonzero((b[1:] != b[:-1]) | (p[1:] != p[:-1]))
-            if len(border):  # whole buckets only
-                end = int(border[-1]) + 1
-                if (out := linked(table.slice(0, end))) is not None:
-                    yield out
-                held, n = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
-        if n and (out := linked(pa.Table.from_batches(held))) is not None:
-            yield out
+        for part in whole_buckets(batches, block):
+            if (out := linked(part)) is not None:
+                yield out
 
     dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     return arrow_map(dealt, compare, "a long, b long").where("a <> b").distinct()
@@ -350,9 +368,149 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- similarity of shingle sets
+
+
+def _least(share: float, n: np.ndarray | int) -> np.ndarray:
+    """The smallest whole number that is not below ``share * n``."""
+    return np.ceil(share * np.asarray(n) - 1e-9).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in an order that is the same for all texts: two sets of at least this similarity have one of them in common.
+
+    Any order serves; here those of ``common`` (sorted hashes, with their ``rank``) come last, so that few texts meet at shared templates.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    last = np.where(common[at] == hashes, rank[at], 0) if len(common) else np.zeros(n, dtype=np.int64)
+    return hashes[np.lexsort((hashes, last))[: n - int(_least(similarity, n)) + 1]]
+
+
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several documents of a sample have, sorted, and their ranks from 1 by the number of these."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, k).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
+    often = arrow_map(some, make, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h = np.array([r["h"] for r in reversed(often)], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], order + 1
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b, of (node, comp, n, prefix): every pair of different ``comp`` whose sets may have the similarity.
+
+    Pairs meet at each shingle that their prefixes share. They differ in size by no more than the similarity allows, and share enough of the prefixes for the rest of the sets to suffice.
+    """
+    w = Window.partitionBy("bucket")
+    rows = nodes.select(F.explode("prefix").alias("bucket"), "node", "comp", "n")
+    met = cut(rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi"))
+    dealt = split_hot(met.select("bucket", F.struct("node", "comp", "n").alias("fp"), F.col("node").alias("rep")), hot).select("bucket", "part", "fp.*")
+    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "n", "node")
+
+    def paired(part: pa.Table, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+        bucket, p, node, comp, n = (part.column(c).to_numpy() for c in ("bucket", "part", "node", "comp", "n"))
+        group = np.cumsum(np.concatenate(([False], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1])))).astype(np.int64)
+        size = n.astype(np.int64)
+        most = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), int(size.max()))
+        wide = int(size.max()) + 1
+        ahead = np.searchsorted(group * wide + size, group * wide + most, side="right") - np.arange(len(size)) - 1
+        ends, at = np.cumsum(ahead), 0
+        while at < len(size):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
+            i = np.repeat(np.arange(at, upto), ahead[at:upto])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[at:upto]) - ahead[at:upto], ahead[at:upto])
+            at = upto
+            some = (comp[i] != comp[j]) & (node[i] != node[j])
+            i, j = i[some], j[some]
+            if len(i):
+                need = _least(similarity / (1 + similarity), size[i] + size[j]) - (np.maximum(_least(similarity, size[i]), _least(similarity, size[j])) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(need)], names=["a", "b", "need"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_buckets(batches):
+            yield from paired(part)
+
+    met_at = arrow_map(dealt, pairs, "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
+    return met_at.where("shared >= need").select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets, taken anew from the texts, have at least the Jaccard similarity."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key", "doc_id"), "node"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, k).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    sets = cut(arrow_map(texts, make, "key binary, shingles binary").join(wanted.select("node", "key"), "key").groupBy("node").agg(F.first("shingles").alias("s")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= int(_least(similarity, len(x) + len(y) - both)))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return cut(arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, words: int = 4, hot: int = HOT) -> DataFrame:
+    """(doc_id, key, component_id) of every row: components of the texts whose sets of k-word shingles have at least the Jaccard similarity.
+
+    Equal sets are one node (``key``, 128 bits of its hashes). SimHash links close copies, and what these links leave apart meets in :func:`prefix_pairs`. All links are verified.
+    component_id is the smallest id of the component, null if it has none.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    common, rank = common_shingles(docs, k)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            first = [prefix(s, common, rank, similarity).view(np.int64) for s in sets]
+            offsets = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([_fingerprint(iter([s]), words) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *first]))),
+                ],
+                names=["doc_id", "key", "fp", "n", "prefix"],
+            )
+
+    rows = cut(arrow_map(docs, make, "doc_id long, key binary, fp binary, n int, prefix array<long>"))
+    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")]).withColumn("node", F.monotonically_increasing_id()))
+    bits, near = 64 * words, radius_for((1 + similarity) / 2, 64 * words)
+    reps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    found = links(split_hot(bucketed(reps, sampled_tables(reps.count(), near, bits), bits // 8), hot), near, bits // 8)
+    same = nodes.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    close = verified(found.unionByName(same), nodes, docs, k, similarity)
+    named = nodes.join(components(close).withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = verified(prefix_pairs(named, similarity, hot), nodes, docs, k, similarity)
+    whole = nodes.select("key", "doc_id", "node").join(components(close.unionByName(rest)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.select("doc_id", "key").join(whole.select("key", "component"), "key").join(least, "component").select("doc_id", "key", "component_id")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """The documents with one of each group of near duplicates: the one with the smallest id. Rows with a null id stay."""
-    kept = near_duplicates(docs, doc_id, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = similar_groups(docs, doc_id, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
     return rows.unionByName(docs.where(F.col(doc_id).isNull()))
 

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -151,3 +152,44 @@ def test_stage_finds_copies_at_similarity(spark):
     assert sum(i + 1 not in kept for i in above) >= 0.95 * len(above)
     assert {i for i, _ in rows if i % 2 == 0} <= kept
     assert S.keep_one(df).columns == df.columns
+
+
+def brute_similar(rows, similarity=0.8, k=5):
+    """{row: smallest row reachable over pairs of at least the similarity}, on the words themselves."""
+    words = {i: (t or "").lower().split() for i, t in rows.items()}
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set() for i, w in words.items()}
+    comp = {i: i for i in rows}
+    for i in sorted(rows):
+        for j in sorted(rows):
+            if i < j and comp[i] != comp[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = {x: new if c == old else c for x, c in comp.items()}
+    return comp
+
+
+@pytest.mark.parametrize("hot", [3, 1 << 16])
+def test_stage_joins_by_exact_similarity(spark, hot):
+    """Pairs just at, above and below 0.8, and texts of one template: the same components as over all pairs of shingle sets."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts, template = [], [word() for _ in range(150)]
+    for _ in range(60):
+        base = [word() for _ in range(rng.randrange(20, 200))]
+        texts.append(base)
+        whole = len(base) - 4
+        for share in (0.75, 0.79, 0.8, 0.81, 0.85):  # a prefix of this share of the shingles has this similarity
+            if rng.random() < 0.4:
+                texts.append(base[: 4 + math.ceil(whole * share)])
+        if rng.random() < 0.5:
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    texts += [template + [word() for _ in range(50)] for _ in range(20)]
+    rows = {i: " ".join(t) for i, t in enumerate(texts)} | {9000: "", 9001: None, 9002: "one two", 9003: "One  two"}
+    want = brute_similar(rows)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, hot=hot).collect()}
+    assert got == want
+    assert len(set(want.values())) > 80 and sum(want[i] != i for i in want) > 60
+    if hot > 3:
+        assert {r["doc_id"] for r in S.keep_one(df).collect()} == set(want.values())
