@@ -142,12 +142,20 @@ def row_positions(df: DataFrame, length: int | None = None) -> DataFrame:
     return sized.withColumn("pos", (F.col("__max") - F.col("__len") + F.col("__rn") - 1).cast("int")).drop("__len", "__rn", "__max")
 
 
-def padded_series(df: DataFrame, length: int, side: str = "left", fill: float | None = None, value: str = "v") -> DataFrame:
-    """(episode_id, var, series): arrays of one length; the side is filled, longer series keep their last (left) or first (right) values."""
+def padded_series(df: DataFrame, length: int | None = None, side: str = "left", fill: float | None = None, value: str = "v") -> DataFrame:
+    """(episode_id, var, series): arrays of one length, that of the longest series; the side is filled.
+
+    With ``length``, arrays of this length: longer series are cut to their last (left) or first (right) values.
+    """
     items = F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, F.col(value).alias("x")))), lambda s: s["x"])
     got = df.groupBy(*KEY).agg(items.alias("a"))
-    gap = F.array_repeat(F.lit(fill).cast("double"), F.greatest(F.lit(length) - F.size("a"), F.lit(0)))
-    kept = F.when(F.size("a") <= length, F.col("a")).otherwise(F.slice("a", -length if side == "left" else 1, length))
+    if length is None:
+        most = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__len")).agg(F.max("__len").cast("int").alias("__most"))
+        got = got.crossJoin(F.broadcast(most))  # one row
+        kept, size = F.col("a"), F.col("__most")
+    else:
+        kept, size = F.when(F.size("a") <= length, F.col("a")).otherwise(F.slice("a", -length if side == "left" else 1, length)), F.lit(length)
+    gap = F.array_repeat(F.lit(fill).cast("double"), F.greatest(size - F.size("a"), F.lit(0)))
     return got.select(*KEY, (F.concat(gap, kept) if side == "left" else F.concat(kept, gap)).alias("series"))
 
 

@@ -289,6 +289,14 @@ def padded_series(spark, d):
     return s.select("episode_id", "var", F.size("series").alias("n"), rounded(A.total(F.col("series"))).alias("total"), F.element_at("series", 1).alias("first"), F.element_at("series", 20).alias("last"))
 
 
+@query(f"""WITH {OBS}, a AS (SELECT episode_id, var, list(v ORDER BY t, seq) AS a FROM obs GROUP BY ALL), m AS (SELECT max(len(a)) AS most FROM a),
+p AS (SELECT episode_id, var, list_concat(list_transform(range(most - len(a)), lambda i: 0.0::DOUBLE), a) AS s FROM a, m)
+SELECT episode_id, var, len(s)::INT AS n, {r('list_sum(s)')} AS total, s[1] AS first, s[-1] AS last FROM p""")
+def padded_series_whole(spark, d):
+    s = series.padded_series(observations(spark, d), side="left", fill=0.0)
+    return s.select("episode_id", "var", F.size("series").alias("n"), rounded(A.total(F.col("series"))).alias("total"), F.element_at("series", 1).alias("first"), F.element_at("series", -1).alias("last"))
+
+
 @query("""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT event_id, least(i // (n // 7), 6)::INT AS bin_id FROM o""")
 def equal_bins(spark, d):
     return ordering.equal_bins(table(spark, d, "events").select("event_id", "value"), [-F.col("value"), F.col("event_id")], 7).select("event_id", "bin_id")

@@ -101,3 +101,12 @@ def test_padding(spark):
     assert got == {1: [None, 1, 2], 2: [3, None, 5]}
     got = {r["episode_id"]: r["series"] for r in series.padded_series(df, 4, "right", 0.0).collect()}
     assert got == {1: [1, 2, 0, 0], 2: [3, None, 5, 0]}
+
+
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_padding_to_the_longest_cuts_nothing(spark, side):
+    df = frame(spark, (1, "a", range(30), [float(i) for i in range(30)]), (2, "a", (0, 1), (5.0, 6.0)), (2, "b", (3,), (7.0,)))
+    got = {(r["episode_id"], r["var"]): r["series"] for r in series.padded_series(df, side=side, fill=0.0).collect()}
+    pad = lambda x: [0.0] * (30 - len(x)) + x if side == "left" else x + [0.0] * (30 - len(x))
+    assert got == {(1, "a"): [float(i) for i in range(30)], (2, "a"): pad([5.0, 6.0]), (2, "b"): pad([7.0])}
+    assert series.padded_series(df.limit(0)).count() == 0
