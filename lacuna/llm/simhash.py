@@ -470,7 +470,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simila
 
 
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, words: int = 4, hot: int = HOT) -> DataFrame:
-    """(doc_id, key, component_id) of every row: components of the texts whose sets of k-word shingles have at least the Jaccard similarity.
+    """(doc_id, key, component, component_id) of every row: components of the texts whose sets of k-word shingles have at least the Jaccard similarity.
 
     Equal sets are one node (``key``, 128 bits of its hashes). SimHash links close copies, and what these links leave apart meets in :func:`prefix_pairs`. All links are verified.
     component_id is the smallest id of the component, null if it has none.
@@ -505,14 +505,35 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = verified(prefix_pairs(named, similarity, hot), nodes, docs, k, similarity)
     whole = nodes.select("key", "doc_id", "node").join(components(close.unionByName(rest)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.select("doc_id", "key").join(whole.select("key", "component"), "key").join(least, "component").select("doc_id", "key", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents with one of each group of near duplicates: the one with the smallest id. Rows with a null id stay."""
-    kept = similar_groups(docs, doc_id, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
-    return rows.unionByName(docs.where(F.col(doc_id).isNull()))
+    return rows.select("doc_id", "key").join(whole.select("key", "component"), "key").join(least, "component").select("doc_id", "key", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, **how) -> DataFrame:
+    """One row of each group of near duplicates, of those with its smallest id; a row with a null id is kept only where its group has no other id."""
+    groups = cut(similar_groups(docs, doc_id, text, k, **how).select("doc_id", "key", "component"))
+    # One text per component: (id, key) of the smallest id, nulls last. Where an id has one row only, the id is enough to find it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = groups.groupBy("component").agg(first).select("first.doc_id", "first.key")
+    often = groups.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__often"))
+    kept = cut(kept.join(often, kept["doc_id"].eqNullSafe(often["doc_id"])).select(kept["doc_id"].alias("__kept"), F.col("key").alias("__key"), "__often"))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__kept"))
+    once = docs.join(kept.where("not __often").select("__kept"), same, "left_semi")
+    keys = kept.where("__often")
+    if keys.isEmpty():
+        return once
+    # Rows of repeated ids are told apart by their texts, and of equal ones any is kept.
+    rows = docs.join(keys.select("__kept").distinct(), same, "left_semi")
+    found = arrow_map(rows.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).distinct(), lambda batches: _keyed(batches, k), "__id long, __text string, __key binary")
+    found = found.join(keys.withColumnRenamed("__key", "__want"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__want"))).groupBy("__id", "__want").agg(F.min("__text").alias("__text"))
+    exact = rows.join(found.select("__id", "__text"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & F.col(text).eqNullSafe(F.col("__text")))
+    one = exact.withColumn("__at", F.row_number().over(Window.partitionBy("__id", "__text").orderBy(F.lit(0)))).where("__at = 1")
+    return once.unionByName(one.select(*docs.columns))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [xxhash.xxh3_128_digest(shingle_set(t, k).tobytes()) for t in b.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary())], names=["__id", "__text", "__key"])
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

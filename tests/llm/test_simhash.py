@@ -193,3 +193,12 @@ def test_stage_joins_by_exact_similarity(spark, hot):
     assert len(set(want.values())) > 80 and sum(want[i] != i for i in want) > 60
     if hot > 3:
         assert {r["doc_id"] for r in S.keep_one(df).collect()} == set(want.values())
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    """Repeated ids, repeated rows and null ids."""
+    a, b, c, d = ("one two three four five six", "quite other words stand here now", "a third text of some more words", "and the last one of them all")
+    rows = [(1, a), (3, a), (3, b), (4, c), (4, c), (5, c), (None, a), (None, d), (None, d), (6, None), (None, None), (None, ""), (7, "lone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in S.keep_one(df).collect()), key=repr)
+    assert got == sorted([(1, a), (3, b), (4, c), (None, d), (6, None), (7, "lone")], key=repr)
