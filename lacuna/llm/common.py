@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lacuna.storage import durable as cut
 from lacuna.storage import shared_dir
 
-__all__ = ["arrow_map", "cut", "held_out", "read_table", "scratch", "shared_dir", "spread"]
+__all__ = ["arrow_map", "cut", "held_out", "maybe_listed", "read_table", "scratch", "shared_dir", "spread"]
 
 #: Bytes of an Arrow batch for the Python workers.
 BATCH = "8m"
@@ -44,3 +44,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+#: Bits of the filter of :func:`maybe_listed`: 8 MB at most, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def maybe_listed(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``__listed``: true where the value is among ``ids`` (one column of the same type), and for few others.
+
+    A bitmap of hashes that is built on the executors and broadcast. It spares a join rows that cannot match; a join must follow, and with more ids than bits it only loses its use.
+    """
+    # One row for each 32768 bits of the map.
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS))
+    maps = ids.select(F.bitmap_bucket_number(place).alias("__map"), F.bitmap_bit_position(place).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    own = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    joined = df.withColumn("__bit", F.bitmap_bit_position(own)).join(F.broadcast(maps.withColumnRenamed("__map", "__own")), F.bitmap_bucket_number(own) == F.col("__own"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    listed = F.coalesce(F.getbit(byte, F.pmod("__bit", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return joined.withColumn("__listed", listed).drop("__bit", "__bits", "__own")

@@ -1,28 +1,27 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 1. Each text gets a fingerprint: XXH64 of every k-word shingle (repeats included, or each shingle once), a bit is 1 if set in over half of the hashes.
-2. Distinct fingerprints, each with its smallest document id, are dealt into buckets by some of their bits. With few differing bits
-   the choice is complete (:func:`exact_tables`: the bits are cut into blocks, and two fingerprints within the radius agree on
-   enough whole blocks); for large radii a stated share of pairs is met (:func:`sampled_tables`). How many bits make a key follows from the number of fingerprints, so that
-   buckets stay small at any size.
+2. Distinct fingerprints, each with its smallest document id, are dealt into buckets by some of their bits (:func:`exact_tables`: the bits are cut into blocks, and two
+   fingerprints within the radius agree on enough whole blocks, so none is missed). How many bits make a key follows from the number of fingerprints, so that buckets stay small at any size.
+   Only buckets of two and more go on; one above ``hot`` rows is cut into groups, and each pair of groups becomes a task's bucket of its own:
+   no pair is lost and no task gets more than two groups (:func:`shared_buckets`).
 3. A bucket's fingerprints are stored as vertical bit planes, 64 to a word. Distances of 64 fingerprints at a time grow in carry-save counters, eight
-   planes a step, and a word is abandoned once all its lanes exceed the radius. Links are joined within the task, and a bucket of n
-   fingerprints yields at most n - 1 of them. A bucket above ``hot`` rows is cut into groups, and each pair of groups becomes a task's bucket of its own:
-   no pair is lost and no task gets more than two groups.
+   planes a step, and a word is abandoned once all its lanes exceed the radius. Links are joined within the task to a forest of direct links, so a bucket of n
+   fingerprints yields at most n - 1 of them.
 4. Components come from alternating large-star and small-star steps on the links, each kept in the checkpoint folder.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any other; a text with fewer words than k is one shingle; rows with a null id take no part in
 linking, and get the component of their fingerprint if a document with an id has the same (else null); rows that repeat an id count as one
 document; an empty table gives an empty result. Very long texts are tokenised in pieces.
 
-The pipeline's stage (:func:`similar_groups`) joins texts by the Jaccard similarity of their shingle sets, and takes the above as its first search for candidates only:
-every link is verified on the whole shingle sets, and :func:`prefix_pairs` finds what SimHash did not, without any miss. Shingles are told apart by 64-bit hashes.
+The pipeline's stage (:func:`similar_groups`) joins texts by the Jaccard similarity of their shingle sets. Buckets are ``BANDS`` bands of minima (a fixed number at any size), the bit-sliced
+comparison with a wide radius leaves the candidates, and every link is verified on the whole shingle sets. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -31,15 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import arrow_map, cut, read_table, spread
+from lacuna.llm.common import arrow_map, cut, maybe_listed, read_table, spread
 
 SEED = 42
 HOT = 1 << 16
 #: Mean number of fingerprints in a bucket that the choice of key bits aims at, at most.
 BUCKET = 4096
 PIECE = 4 << 20
-#: Documents, about, whose shingles are counted to find common ones, and how many of these are told to the workers. Both bear on speed only.
-SAMPLE, COMMON = 4096, 1 << 16
+#: Bands of minima and minima of a band: two sets of similarity s share a band with probability 1 - (1 - s^MINIMA)^BANDS; at s = 0.8 one pair in 300,000 shares none.
+BANDS, MINIMA = 24, 4
 _BLANKS = b" \t\n\r\x0b\x0c"
 
 
@@ -132,18 +131,10 @@ def exact_tables(n: int, radius: int, bits: int = 64, bucket: int = BUCKET) -> l
     return best
 
 
-def sampled_tables(n: int, radius: int, bits: int, found: float = 0.97, bucket: int = 64) -> list[list[int]]:
-    """Random bit positions: a pair at exactly ``radius`` differing bits shares a key with probability ``found``, a nearer one with a higher."""
-    size = min(40, max(10, math.ceil(math.log2(max(2, n) / bucket))))
-    hit = math.prod((bits - radius - i) / (bits - i) for i in range(size))
-    rng = np.random.default_rng(11)
-    return [sorted(rng.choice(bits, size, replace=False).tolist()) for _ in range(math.ceil(math.log(1 - found) / math.log(1 - hit)))]
-
-
-def radius_for(similarity: float, bits: int) -> int:
-    """Differing bits of two texts whose shingle sets have this Jaccard similarity: the mean and 1.4 standard deviations, which nine of ten such pairs keep to."""
+def radius_for(similarity: float, bits: int, deviations: float) -> int:
+    """Differing bits of two texts whose shingle sets have this Jaccard similarity: the mean and some standard deviations."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return int(bits * p + 1.4 * math.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def _bit_rows(fps: np.ndarray) -> np.ndarray:
@@ -156,7 +147,7 @@ def _fp_array(column: pa.Array, width: int) -> np.ndarray:
 
 
 def bucketed(reps: DataFrame, tables: Sequence[Sequence[int]], width: int) -> DataFrame:
-    """(bucket, fp, rep): each fingerprint once per table; the table's number is part of the bucket's."""
+    """(bucket, fp, node): each fingerprint once per table; the table's number is part of the bucket's."""
     shift = max(map(len, tables))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,20 +157,16 @@ def bucketed(reps: DataFrame, tables: Sequence[Sequence[int]], width: int) -> Da
             bits = _bit_rows(_fp_array(b.column("fp"), width)).astype(np.int64)
             for t, cols in enumerate(tables):
                 key = bits[:, cols] @ (np.int64(1) << np.arange(len(cols), dtype=np.int64)) + (np.int64(t) << np.int64(shift))
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("fp"), b.column("rep")], names=["bucket", "fp", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("fp"), b.column("node")], names=["bucket", "fp", "node"])
 
-    return arrow_map(reps.select("fp", "rep"), deal, "bucket long, fp binary, rep long")
+    return arrow_map(reps.select("fp", "node"), deal, "bucket long, fp binary, node long")
 
 
-def split_hot(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(bucket, part, fp, rep): a bucket above ``hot`` rows becomes one part for each pair of its groups; others keep part 0."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("g"))
-    if sizes.isEmpty():
-        return rows.select("bucket", F.lit(0).alias("part"), "fp", "rep")
-    mine = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    joined = rows.join(sizes, "bucket", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("mine", mine)
-    return joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("bucket", (low * F.col("g") + high).alias("part"), "fp", "rep")
+def shared_buckets(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of buckets that hold two and more, with ``part``: a bucket above ``hot`` rows becomes one part for each pair of its groups; others are part 0."""
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("bucket", F.ceil(F.col("__n") / hot).cast("int").alias("__g"))
+    dealt = rows.join(sizes, "bucket").withColumn("__mine", F.pmod(F.xxhash64("node"), F.col("__g")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__g") - 1)))
+    return dealt.withColumn("part", F.least("__mine", "__other") * F.col("__g") + F.greatest("__mine", "__other")).drop("__g", "__mine", "__other")
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -222,27 +209,35 @@ class Counters:
                 eq &= ~planes[i]
         return gt
 
+    def at(self, word: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        """The counts of single lanes."""
+        return sum(((c[word] >> lane & np.uint64(1)) << np.uint64(p) for p, c in enumerate([*self.low, *self.high])), np.zeros(len(word), dtype=np.uint64)).astype(np.int64)
+
     def keep(self, some: np.ndarray) -> None:
         self.low, self.high = [c[some] for c in self.low], [c[some] for c in self.high]
 
 
-def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels (each the smallest row of its set) after the sets of i and j are joined."""
+def _union(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels (each the smallest row of its set) after the sets of i and j are joined, and which of these pairs joined them: one for each set that ended."""
+    at, used = np.arange(len(i)), []
     while True:
-        a, b = label[i], label[j]
+        a, b = label[i[at]], label[j[at]]
         odd = a != b
         if not odd.any():
-            return label
-        i, j, a, b = i[odd], j[odd], a[odd], b[odd]
+            return label, used
+        at, a, b = at[odd], a[odd], b[odd]
+        high, low = np.maximum(a, b), np.minimum(a, b)
         root = np.arange(len(label))
-        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        np.minimum.at(root, high, low)
+        by = np.flatnonzero(root[high] == low)
+        used.append(at[by[np.unique(high[by], return_index=True)[1]]])
         while (root[root] != root).any():
             root = root[root]
         label = root[label]
 
 
-def link_block(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 << 18) -> np.ndarray:
-    """For rows sorted by bucket: the smallest row that each row is linked to within its bucket, directly or through others."""
+def pairs_within(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance), i < j, of the rows (sorted by bucket) that share a bucket and differ in ``radius`` bits at most, in parts of bounded size."""
     n, bits = len(bucket), fps.shape[1] * 8
     start = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
     size = np.diff(np.concatenate((start, [n])))
@@ -260,7 +255,6 @@ def link_block(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 <
     row_of[lane] = np.arange(n)
     ahead = (first_word + words)[b_of] - lane // 64  # words from a row's own to the last of its bucket
     ahead[size[b_of] < 2] = 0
-    label = np.arange(n)
     ends = np.cumsum(ahead)
     at = 0
     while at < n:
@@ -287,8 +281,16 @@ def link_block(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 <
         for k in range(0, len(q), 1 << 14):  # pairs of a part of the words at once
             c, bit = np.nonzero(np.unpackbits(live[k : k + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64))
             if len(c):
-                label = _union(label, q[k : k + (1 << 14)][c], row_of[w[k : k + (1 << 14)][c] * 64 + bit])
-    return label
+                yield q[k + c], row_of[w[k + c] * 64 + bit], count.at(k + c, bit.astype(np.uint64))
+
+
+def link_block(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by bucket: direct links (i, j) within the radius, one fewer than the rows that they connect."""
+    label, ends = np.arange(len(bucket)), []
+    for i, j, _ in pairs_within(bucket, fps, radius, step):
+        label, used = _union(label, i, j)
+        ends += [(i[u], j[u]) for u in used]
+    return tuple(np.concatenate([e[x] for e in ends] or [np.empty(0, np.int64)]) for x in (0, 1))
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], block: int = 1 << 16) -> Iterator[pa.Table]:
@@ -311,26 +313,32 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], block: int = 1 << 16) -> It
         yield pa.Table.from_batches(held)
 
 
-def links(rows: DataFrame, radius: int, width: int, block: int = 1 << 16) -> DataFrame:
-    """(a, b), a > b: enough links between representatives to connect what lies within the radius."""
+def in_buckets(rows: DataFrame, compare: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, block: int = 1 << 16) -> DataFrame:
+    """``compare`` over tables of whole buckets, sorted; its second argument numbers their (bucket, part)."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def linked(part: pa.Table) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_buckets(batches, block):
             part = part.combine_chunks()
             b, p = part.column("bucket").to_numpy(), part.column("part").to_numpy()
-            change = np.concatenate(([False], (np.diff(b) != 0) | (np.diff(p) != 0)))
-            rep = part.column("rep").to_numpy()
-            label = link_block(np.cumsum(change), _fp_array(part.column("fp"), width), radius)
-            some = np.flatnonzero(label != np.arange(len(label)))
-            a, c = rep[some], rep[label[some]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, c)), pa.array(np.minimum(a, c))], names=["a", "b"]) if len(some) else None
+            yield from compare(part, np.cumsum(np.concatenate(([False], (np.diff(b) != 0) | (np.diff(p) != 0)))))
+
+    return arrow_map(rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part"), run, schema)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b)), **{k: pa.array(v) for k, v in more.items()}})
 
-        for part in whole_buckets(batches, block):
-            if (out := linked(part)) is not None:
-                yield out
 
-    dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return arrow_map(dealt, compare, "a long, b long").where("a <> b").distinct()
+def links(rows: DataFrame, radius: int, width: int, block: int = 1 << 16) -> DataFrame:
+    """(a, b), a > b: enough links between nodes to connect what lies within the radius."""
+
+    def compare(part: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = part.column("node").to_numpy()
+        i, j = link_block(group, _fp_array(part.column("fp"), width), radius)
+        if len(i):
+            yield _pairs(node[i], node[j])
+
+    return in_buckets(rows, compare, "a long, b long", block).where("a <> b").distinct()
 
 
 # ---------------------------------------------------------------- components
@@ -354,17 +362,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, words: int = 4, radius: int | None = None, similarity: float = 0.8, distinct: bool = True, hot: int = HOT) -> DataFrame:
-    """One row per document: doc_id, fp, component_id. Default: sets of five-word shingles, 256 bits, the radius of a similarity of 0.8."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, words: int = 1, radius: int = 4, distinct: bool = False, hot: int = HOT) -> DataFrame:
+    """One row per document: doc_id, fp, component_id, by the distance of fingerprints alone. A radius up to an eighth of the bits keeps the number of keys small."""
     bits, width = 64 * words, 8 * words
-    radius = radius_for(similarity, bits) if radius is None else radius
     fps = cut(fingerprints(docs, doc_id, text, k, words, distinct))
-    reps = cut(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    n = reps.count()
-    tables = exact_tables(n, radius, bits) if bits // (radius + 1) >= 8 else sampled_tables(n, radius, bits)
-    found = links(split_hot(bucketed(reps, tables, width), hot), radius, width)
-    whole = components(found)
-    named = reps.join(whole, reps["rep"] == whole["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    reps = cut(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node")))
+    rows = cut(bucketed(reps, exact_tables(reps.count(), radius, bits), width))
+    whole = components(links(shared_buckets(rows, hot), radius, width))
+    named = reps.join(whole, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -376,85 +381,35 @@ def _least(share: float, n: np.ndarray | int) -> np.ndarray:
     return np.ceil(share * np.asarray(n) - 1e-9).astype(np.int64)
 
 
-def prefix(hashes: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in an order that is the same for all texts: two sets of at least this similarity have one of them in common.
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, size=(BANDS, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Any order serves; here those of ``common`` (sorted hashes, with their ``rank``) come last, so that few texts meet at shared templates.
-    """
-    n = len(hashes)
-    if not n:
-        return hashes
-    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
-    last = np.where(common[at] == hashes, rank[at], 0) if len(common) else np.zeros(n, dtype=np.int64)
-    return hashes[np.lexsort((hashes, last))[: n - int(_least(similarity, n)) + 1]]
 
+def bands(hashes: np.ndarray, step: int = 1024) -> np.ndarray:
+    """A set's ``BANDS`` buckets: hashes of ``MINIMA`` minima each, under permutations of the shingle hashes (products with odd numbers). None for the empty set."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    least = np.full(_ODD.size, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    for k in range(0, len(hashes), step):
+        np.minimum(least, (hashes[None, k : k + step] * _ODD.reshape(-1, 1)).min(axis=1), out=least)
+    return _widened((least.reshape(BANDS, MINIMA) * _ODD[:, ::-1]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64), 1).view(np.int64)
 
-def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that several documents of a sample have, sorted, and their ranks from 1 by the number of these."""
+
+def shingle_sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, s) of nodes (node, key, doc_id): their sets, made anew from the texts. Of ``docs``, only rows that may have one of the ids are shuffled."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, k).view(np.int64))], names=["h"])
-
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // SAMPLE))) == 0)
-    often = arrow_map(some, make, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in reversed(often)], dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], order + 1
-
-
-def prefix_pairs(nodes: DataFrame, similarity: float, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b, of (node, comp, n, prefix): every pair of different ``comp`` whose sets may have the similarity.
+            sets = [shingle_set(t, k).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            own = pa.array([xxhash.xxh3_128_digest(s) == key for s, key in zip(sets, b.column("key").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], names=["node", "s"]).filter(own)
 
-    Pairs meet at each shingle that their prefixes share. They differ in size by no more than the similarity allows, and share enough of the prefixes for the rest of the sets to suffice.
-    """
-    w = Window.partitionBy("bucket")
-    rows = nodes.select(F.explode("prefix").alias("bucket"), "node", "comp", "n")
-    met = cut(rows.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi"))
-    dealt = split_hot(met.select("bucket", F.struct("node", "comp", "n").alias("fp"), F.col("node").alias("rep")), hot).select("bucket", "part", "fp.*")
-    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "n", "node")
-
-    def paired(part: pa.Table, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-        bucket, p, node, comp, n = (part.column(c).to_numpy() for c in ("bucket", "part", "node", "comp", "n"))
-        group = np.cumsum(np.concatenate(([False], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1])))).astype(np.int64)
-        size = n.astype(np.int64)
-        most = np.minimum(np.floor(size / similarity + 1e-9).astype(np.int64), int(size.max()))
-        wide = int(size.max()) + 1
-        ahead = np.searchsorted(group * wide + size, group * wide + most, side="right") - np.arange(len(size)) - 1
-        ends, at = np.cumsum(ahead), 0
-        while at < len(size):
-            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, side="right")))
-            i = np.repeat(np.arange(at, upto), ahead[at:upto])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead[at:upto]) - ahead[at:upto], ahead[at:upto])
-            at = upto
-            some = (comp[i] != comp[j]) & (node[i] != node[j])
-            i, j = i[some], j[some]
-            if len(i):
-                need = _least(similarity / (1 + similarity), size[i] + size[j]) - (np.maximum(_least(similarity, size[i]), _least(similarity, size[j])) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(need)], names=["a", "b", "need"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_buckets(batches):
-            yield from paired(part)
-
-    met_at = arrow_map(dealt, pairs, "a long, b long, need long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"))
-    return met_at.where("shared >= need").select("a", "b")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets, taken anew from the texts, have at least the Jaccard similarity."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key", "doc_id"), "node"))
+    texts = maybe_listed(docs, "doc_id", nodes.select("doc_id")).where("__listed").withColumn("__h", F.xxhash64("text"))
+    met = texts.join(nodes.withColumnRenamed("doc_id", "__id"), texts["doc_id"].eqNullSafe(F.col("__id")))
+    return arrow_map(met.dropDuplicates(["__id", "node", "__h"]).select("node", "key", "text"), make, "node long, s binary")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, k).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    ids = wanted.select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    sets = cut(arrow_map(texts, make, "key binary, shingles binary").join(wanted.select("node", "key"), "key").groupBy("node").agg(F.first("shingles").alias("s")))
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole shingle sets have at least the Jaccard similarity."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -469,40 +424,79 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, simila
     return cut(arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long"))
 
 
+def close_pairs(placed: DataFrame, close: int, wide: int, width: int) -> DataFrame:
+    """(a, b, close): a forest of links within the radius ``close`` (true), and each node that has another within ``wide``, beside itself (false)."""
+
+    def compare(part: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = part.column("node").to_numpy()
+        label, near = np.arange(len(node)), np.zeros(len(node), dtype=bool)
+        for i, j, d in pairs_within(group, _fp_array(part.column("fp"), width), wide):
+            near[i] = near[j] = True
+            i, j = i[d <= close], j[d <= close]
+            label, used = _union(label, i, j)
+            for u in used:
+                yield _pairs(node[i[u]], node[j[u]], close=np.ones(len(u), dtype=bool))
+        own = np.unique(node[near])
+        if len(own):
+            yield _pairs(own, own, close=np.zeros(len(own), dtype=bool))
+
+    return in_buckets(placed, compare, "a long, b long, close boolean").where("a <> b or not close").distinct()
+
+
+def open_pairs(placed: DataFrame, similarity: float, wide: int, width: int) -> DataFrame:
+    """(a, b) of (bucket, part, node, fp, n, comp) within the radius that differ in ``comp``, and in size by no more than the similarity allows."""
+
+    def compare(part: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, comp, n = (part.column(c).to_numpy() for c in ("node", "comp", "n"))
+        some = np.zeros(len(node), dtype=bool)  # rows of groups that hold two components
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
+        mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
+        some = mixed[group - group[0]]
+        if not some.any():
+            return
+        node, comp, n = node[some], comp[some], n[some].astype(np.int64)
+        for i, j, _ in pairs_within(group[some], _fp_array(part.column("fp"), width)[some], wide):
+            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= _least(similarity, np.maximum(n[i], n[j])))
+            if ok.any():
+                yield _pairs(node[i[ok]], node[j[ok]])
+
+    return in_buckets(placed, compare, "a long, b long").where("a <> b").distinct()
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, words: int = 4, hot: int = HOT) -> DataFrame:
     """(doc_id, key, component, component_id) of every row: components of the texts whose sets of k-word shingles have at least the Jaccard similarity.
 
-    Equal sets are one node (``key``, 128 bits of its hashes). SimHash links close copies, and what these links leave apart meets in :func:`prefix_pairs`. All links are verified.
+    Equal sets are one node (``key``, 128 bits of its hashes). Nodes meet in the buckets of their bands. Bit-sliced comparison finds a forest of close links first; after these are verified and joined,
+    all pairs within the wide radius (six standard deviations beyond the similarity's mean) that are still in different components follow, so a group of many copies is no matter of all its pairs.
     component_id is the smallest id of the component, null if it has none.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    common, rank = common_shingles(docs, k)
+    bits, width = 64 * words, 8 * words
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            first = [prefix(s, common, rank, similarity).view(np.int64) for s in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(f) for f in first]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([_fingerprint(iter([s]), words) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *first]))),
+                    pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "fp", "n", "prefix"],
+                names=["doc_id", "key", "fp", "n", "bands"],
             )
 
-    rows = cut(arrow_map(docs, make, "doc_id long, key binary, fp binary, n int, prefix array<long>"))
-    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "prefix")]).withColumn("node", F.monotonically_increasing_id()))
-    bits, near = 64 * words, radius_for((1 + similarity) / 2, 64 * words)
-    reps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
-    found = links(split_hot(bucketed(reps, sampled_tables(reps.count(), near, bits), bits // 8), hot), near, bits // 8)
-    same = nodes.join(reps, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    close = verified(found.unionByName(same), nodes, docs, k, similarity)
-    named = nodes.join(components(close).withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = verified(prefix_pairs(named, similarity, hot), nodes, docs, k, similarity)
+    rows = cut(arrow_map(spread(docs), make, "doc_id long, key binary, fp binary, n int, bands array<long>"))
+    nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]).withColumn("node", F.monotonically_increasing_id()))
+    met = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), hot)
+    placed = cut(met.join(nodes.select("node", "fp", "n"), "node"))
+    wide = radius_for(similarity, bits, 6.0)
+    found = cut(close_pairs(placed, radius_for((1 + similarity) / 2, bits, 1.4), wide, width))
+    sets = cut(shingle_sets(nodes.join(found.where("not close").select(F.col("a").alias("node")), "node", "left_semi").select("node", "key", "doc_id"), docs, k))
+    close = verified(found.where("close").select("a", "b"), sets, similarity)
+    named = placed.join(components(close).withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = verified(open_pairs(named, similarity, wide, width), sets, similarity)
     whole = nodes.select("key", "doc_id", "node").join(components(close.unionByName(rest)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "key").join(whole.select("key", "component"), "key").join(least, "component").select("doc_id", "key", "component", "component_id")

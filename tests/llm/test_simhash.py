@@ -67,8 +67,8 @@ def test_hot_buckets_lose_nothing(spark, hot):
     first = {}
     for i, f in fps.items():
         first.setdefault(f, i)
-    reps = spark.createDataFrame([(f.to_bytes(8, "big"), i) for f, i in first.items()], "fp binary, rep long")
-    found = S.links(S.split_hot(S.bucketed(reps, S.exact_tables(200, 4), 8), hot), 4, 8)
+    reps = spark.createDataFrame([(f.to_bytes(8, "big"), i) for f, i in first.items()], "fp binary, node long")
+    found = S.links(S.shared_buckets(S.bucketed(reps, S.exact_tables(200, 4), 8), hot), 4, 8)
     got = {r["node"]: r["component"] for r in S.components(found).collect()}
     want = brute_components({i: f for f, i in first.items()}, 4)
     assert {n: got.get(n, n) for n in want} == want
@@ -83,9 +83,14 @@ def test_bit_slices_equal_plain_distances(radius, words):
     for i in range(300):
         for b in rng.integers(0, 64 * words, rng.integers(0, radius + 3)):
             fps[i, b // 8] ^= 1 << (b % 8)
-    got = S.link_block(bucket, fps, radius, step=50)
+    ints = [int.from_bytes(f.tobytes(), "big") for f in fps]
+    plain = {(i, j): d for i in range(300) for j in range(i + 1, 300) if bucket[i] == bucket[j] and (d := (ints[i] ^ ints[j]).bit_count()) <= radius}
+    got = {(int(a), int(b)): int(d) for i, j, x in S.pairs_within(bucket, fps, radius, step=50) for a, b, d in zip(i, j, x, strict=True)}
+    assert got == plain
+    i, j = S.link_block(bucket, fps, radius, step=50)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) <= set(plain)  # links are direct, and as few as connect the rows
     want = brute_components_rows(bucket, fps, radius)
-    assert got.tolist() == want
+    assert S._union(np.arange(300), i, j)[0].tolist() == want and len(i) == 300 - len(set(want))
 
 
 def brute_components_rows(bucket, fps, radius):
@@ -122,7 +127,7 @@ def test_empty_nulls_and_repeats(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(df, k=4, words=1, radius=4, distinct=False).collect()), key=repr)
     assert got == sorted([(None, 5), (5, 5), (5, 5), (None, None), (7, 7)], key=repr)
     assert S.near_duplicates(df.limit(0), k=4, words=1, radius=4, distinct=False).count() == 0
-    assert S.near_duplicates(df.limit(0)).count() == 0
+    assert S.similar_groups(df.limit(0)).count() == 0
 
 
 def jaccard(a, b, k=5):
@@ -202,3 +207,30 @@ def test_stage_keeps_one_row_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"], r["text"]) for r in S.keep_one(df).collect()), key=repr)
     assert got == sorted([(1, a), (3, b), (4, c), (None, d), (6, None), (7, "lone")], key=repr)
+
+
+def test_bands_meet_at_the_similarity():
+    """At 0.8 and above a pair shares a bucket; the wide radius holds it too. Pairs below 0.3 meet seldom."""
+    rng = np.random.default_rng(4)
+    wide, missed, met_far = S.radius_for(0.8, 256, 6.0), 0, 0
+    for _ in range(1500):
+        n = int(rng.integers(5, 400))
+        whole = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+        a, b = np.unique(whole[:n]), np.unique(whole[: math.floor(n / 0.8)])
+        near = np.intersect1d(S.bands(a), S.bands(b)).size > 0
+        bits = (int.from_bytes(S._fingerprint(iter([a]), 4), "big") ^ int.from_bytes(S._fingerprint(iter([b]), 4), "big")).bit_count()
+        missed += not near or bits > wide
+        c = np.unique(np.concatenate((whole[: n // 3], rng.integers(0, 1 << 63, n, dtype=np.uint64))))
+        met_far += np.intersect1d(S.bands(a), S.bands(c)).size > 0
+    assert missed <= 1 and met_far < 300
+    assert S.bands(np.empty(0, np.uint64)).size == 0
+
+
+def test_filter_of_ids(spark):
+    from lacuna.llm.common import maybe_listed
+
+    df = spark.createDataFrame([(i, "x") for i in [None, *range(-50, 200), 1 << 40]], "i long, t string")
+    ids = spark.createDataFrame([(i,) for i in [None, *range(-50, 200, 7), 1 << 40]], "j long")
+    want = {None, *range(-50, 200, 7), 1 << 40}
+    assert {r["i"] for r in maybe_listed(df, "i", ids).where("__listed").collect()} == want
+    assert not maybe_listed(df, "i", ids.limit(0)).where("__listed").count()
