@@ -2,16 +2,17 @@
 
 Every block of vectors (``BLOCK`` at most, so memory is bounded) keeps one sorted array for each of ``m`` random projections. A query opens a window around its own
 projection in every array. Virtual rehashing widens all windows together, radius R by factor ``growth``, and only the newly covered ends are counted. A vector that has collided in at least ``threshold``
-arrays is verified: its exact distance is computed. The search of a query ends once its k-th best distance is no more than R.
+arrays is verified: its exact distance is computed. The search of a query in a block ends once its k-th best distance is no more than R; a bound known from earlier blocks is the radius at once.
 
-A vector at distance R or less lies in a window of half-width R with probability at least 0.683 (normal projections), independently in each array; the threshold
-is the largest number that such a vector reaches with probability ``found`` (:func:`threshold_for`), so each true neighbour is missed with probability 1 - found at most, whatever the
-data. The starting radius comes from a bounded sample of vectors; it changes the work, not the guarantee.
+A vector at distance R lies in a window of half-width R with probability 0.683 (normal projections), independently in each array, a nearer one with a higher; the threshold
+is the largest number that a vector at distance R reaches with probability ``found`` (:func:`threshold_for`), so each true neighbour is missed with probability 1 - found at most, whatever the
+data. How many others are verified depends on how much farther they lie: ``m`` is chosen so that vectors at 1.2 R mostly stay out. The starting radius comes from a bounded sample of vectors; it changes the work, not the guarantee.
 
-Queries come in blocks of ``QUERIES`` rows: each block is one broadcast of bounded size and one pass over the vectors. Tasks return k rows a query, and a window over these gives the result.
+Queries come in passes of at most ``QUERY_BYTES`` of vectors, of one length each: a pass is one broadcast of bounded size and one scan of the vectors, its rows are written to the shared folder, and the plan of
+the result does not grow with the number of passes. Tasks return k rows a query, and a window over these gives the result.
 
-Defined cases: vectors that are null, all zero, of another length than the first query's, or that hold a null or non-finite component take no part, nor do rows with a null id; of
-rows that repeat an id divisible by ``every`` the smallest vector is the query, and a query never finds rows of its own id; ties go to the smaller id; fewer than k candidates give
+Defined cases: vectors that are null, all zero, or that hold a null or non-finite component take no part, nor do rows with a null id; a query meets the vectors of its own
+length; of rows that repeat an id divisible by ``every`` the smallest vector is the query, and a query never finds rows of its own id; ties go to the smaller id; fewer than k candidates give
 fewer rows; no queries or an empty table give an empty result.
 """
 
@@ -22,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import arrow_map, read_table
+from lacuna.llm.common import arrow_map, cut, read_table, scratch
 
-M, FOUND, GROWTH = 56, 0.985, 1.2
-BLOCK, QUERIES, SAMPLE = 8192, 4096, 1024
+M, FOUND, GROWTH = 320, 0.94, 1.03
+BLOCK, QUERY_BYTES, SAMPLE = 8192, 16 << 20, 1024
 #: The share of a normal distribution within one standard deviation.
 WITHIN = math.erf(1 / math.sqrt(2))
 FOUND_ROWS = "query_id long, vec_id long, score double"
@@ -45,43 +46,43 @@ def threshold_for(m: int, found: float, p: float = WITHIN) -> int:
 
 
 class SortedProjections:
-    """The arrays of one block of vectors."""
+    """The arrays of one block of vectors. ``verified`` counts the distances that searches have computed."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.verified = ids, vectors, 0
         proj = vectors @ directions  # (n, m)
         self.n, self.m = proj.shape
         order = np.argsort(proj, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
         # All arrays in one ascending line: array i is moved up by i times more than any span.
         self.step = 4 * float(np.abs(proj).max(initial=0.0)) + 1.0
-        self.line = (np.take_along_axis(proj, order, axis=0).T + self.step * np.arange(self.m)[:, None]).ravel()
-        self.flat = self.order.ravel()
+        self.up = self.step * np.arange(self.m)
+        self.line = (np.take_along_axis(proj, order, axis=0).T + self.up[:, None]).ravel()
+        self.flat = np.ascontiguousarray(order.T.astype(np.int32)).ravel()
         self.base = np.arange(self.m) * self.n
 
     def search(self, query_id: int, q: np.ndarray, proj: np.ndarray, best: list[tuple[float, int]], k: int, radius: float, threshold: int, growth: float) -> list[tuple[float, int]]:
         """``best`` (distance, id; ascending, at most k) with what this block adds."""
-        n, count = self.n, np.zeros(self.n, dtype=np.int16)
+        n, count = self.n, np.zeros(self.n, dtype=np.int32)
         seen = np.zeros(n, dtype=bool)
-        off = self.step * np.arange(self.m)
-        lim = self.step / 2
+        lim = self.step / 2  # a window reaches no further than its own array
         lo = hi = None
+        if len(best) == k:
+            radius = max(radius, best[-1][0])
         while True:
-            # A window reaches no further than its own array.
-            centre = np.clip(proj, -lim, lim)
-            new_lo = np.clip(np.searchsorted(self.line, np.maximum(proj - radius, -lim) + off, side="left"), self.base, self.base + n)
-            new_hi = np.clip(np.searchsorted(self.line, np.minimum(proj + radius, lim) + off, side="right"), self.base, self.base + n)
+            new_lo = np.clip(np.searchsorted(self.line, np.maximum(proj - radius, -lim) + self.up, side="left"), self.base, self.base + n)
+            new_hi = np.clip(np.searchsorted(self.line, np.minimum(proj + radius, lim) + self.up, side="right"), self.base, self.base + n)
             new_hi = np.maximum(new_hi, new_lo)
             if lo is None:
-                lo = hi = np.clip(np.searchsorted(self.line, centre + off), new_lo, new_hi)
+                lo = hi = np.clip(np.searchsorted(self.line, np.clip(proj, -lim, lim) + self.up), new_lo, new_hi)
             parts = [self.flat[a:b] for a, b in zip(np.concatenate((new_lo, hi)).tolist(), np.concatenate((lo, new_hi)).tolist(), strict=True) if b > a]
             lo, hi = new_lo, new_hi
             if parts:
-                count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+                count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
                 new = np.flatnonzero((count >= threshold) & ~seen)
                 if len(new):
                     seen[new] = True
                     new = new[self.ids[new] != query_id]
+                    self.verified += len(new)
                     d = self.vectors[new] - q
                     d = np.sqrt((d * d).sum(axis=1))
                     if len(best) == k:
@@ -96,6 +97,16 @@ class SortedProjections:
             radius *= growth
 
 
+def start_radius(queries: np.ndarray, some: np.ndarray, k: int) -> float:
+    """A low guess of the distance to the k-th neighbour: nine tenths of the lower decile of those of a few queries within a bounded sample."""
+    if not len(some):
+        return 1.0
+    d = np.sqrt(((queries[:64, None, :] - some[None, :, :]) ** 2).sum(axis=2))
+    kth = np.sort(np.where(d > 0, d, np.inf), axis=1)[:, min(k, d.shape[1]) - 1]
+    guess = 0.9 * float(np.quantile(kth, 0.1, method="lower"))
+    return guess if np.isfinite(guess) and guess > 0 else 1.0
+
+
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -107,30 +118,33 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = M, found: float = FOUND, growth: float = GROWTH, block: int = BLOCK, per_pass: int = QUERIES, seed: int = 5) -> DataFrame:
+def passes(queries: DataFrame, query_bytes: int) -> Iterator[list[Row]]:
+    """The queries, streamed to the driver, in lists of one vector length and a bounded number of bytes."""
+    held: list[Row] = []
+    for r in queries.orderBy(F.size("embedding"), "vec_id").toLocalIterator():
+        dim = len(r["embedding"])
+        if held and (len(held[0]["embedding"]) != dim or (len(held) + 1) * dim * 8 > query_bytes):
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = M, found: float = FOUND, growth: float = GROWTH, block: int = BLOCK, query_bytes: int = QUERY_BYTES, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score); both inputs as :func:`usable` returns them, query ids being distinct."""
     spark = vectors.sparkSession
-    out: DataFrame | None = None
-    sampled: float | None = None
-    directions = None
-    threshold = threshold_for(m, found)
-    held: list = []
-
-    def one_pass(rows: list) -> DataFrame:
-        nonlocal sampled, directions
+    threshold, path, n_passes = threshold_for(m, found), scratch(spark, "neighbours"), 0
+
+    def one_pass(rows: list[Row]) -> DataFrame:
         dim = len(rows[0]["embedding"])
         same = vectors.where(F.size("embedding") == dim)
-        if directions is None:
-            directions = np.random.default_rng(seed).standard_normal((dim, m))
+        directions = np.random.default_rng(seed).standard_normal((dim, m))
         ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
         q = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        if sampled is None:  # half the smallest distance between a few queries and a bounded sample
-            some = np.array([r["embedding"] for r in same.select("embedding").orderBy(F.xxhash64("vec_id")).limit(SAMPLE).collect()]).reshape(-1, dim)
-            d = np.sqrt(((q[:64, None, :] - some[None, :, :]) ** 2).sum(axis=2))
-            sampled = float(np.median(np.where(d > 0, d, np.inf).min(axis=1, initial=np.inf))) / 2
-            if not np.isfinite(sampled) or sampled <= 0:
-                sampled = 1.0
-        shared = spark.sparkContext.broadcast((ids, q, directions, sampled))
+        some = same.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column(1)
+        start = start_radius(q, np.array(some.to_pylist(), dtype=np.float64).reshape(-1, dim), k)
+        shared = spark.sparkContext.broadcast((ids, q, directions, start))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, directions, radius = shared.value
@@ -160,16 +174,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, m: int = M, fou
 
         return arrow_map(same, scan, FOUND_ROWS)
 
-    for r in queries.toLocalIterator():
-        held.append(r)
-        if len(held) == per_pass:
-            out, held = one_pass(held) if out is None else out.unionByName(one_pass(held)), []
-    if held:
-        out = one_pass(held) if out is None else out.unionByName(one_pass(held))
-    if out is None:
+    for rows in passes(cut(queries), query_bytes):
+        one_pass(rows).write.mode("append").parquet(path)
+        n_passes += 1
+    if not n_passes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(FOUND_ROWS).parquet(path).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ LEAF, REACH, CACHE = 256, 4, 250_000
 #: Characters of a text that are encoded at once.
 PIECE = 1 << 20
 _SIMPLE = 0x300
+#: Where a long text may be cut: before a blank or line end that follows anything else; for other layouts of a tokenizer, between two words of ASCII letters.
+_BORDER, _PLAIN_BORDER = re.compile(r"(?<=\S)[ \n]"), re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -183,19 +185,17 @@ class Encoder:
         return b"".join(map(self.cache.__getitem__, chunks))
 
     def pieces(self, text: str) -> Iterator[str]:
-        """A long text in pieces that end before white space which nothing joins on: between two ASCII letters' words."""
-        at = 0
+        """A long text in pieces that end before white space. Nothing joins across it: it composes with no character before it, and no pre-token or special string holds it."""
+        border, at = _BORDER if self.short else _PLAIN_BORDER, 0
         while len(text) - at > PIECE:
-            m = None
-            for m in re.finditer(r"(?<=[A-Za-z]) (?=[A-Za-z])", text[at : at + PIECE]):
-                pass
-            if m is None:
-                m = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])").search(text, at + PIECE - 1)
+            end = None
+            for m in border.finditer(text, at + PIECE // 2, at + PIECE):
+                end = m.start()
+            if end is None:
+                m = border.search(text, at + PIECE - 1)
                 if m is None:
                     break
                 end = m.start()
-            else:
-                end = at + m.start()
             yield text[at:end]
             at = end
         yield text[at:]

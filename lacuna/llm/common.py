@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,16 +50,17 @@ def held_out(doc_id: Column) -> Column:
 FILTER_BITS = 1 << 26
 
 
-def maybe_listed(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``__listed``: true where the value is among ``ids`` (one column of the same type), and for few others.
+def maybe_listed(df: DataFrame, columns: str | Sequence[str], ids: DataFrame) -> DataFrame:
+    """``df`` with ``__listed``: true where the values of ``columns`` are a row of ``ids`` (columns of the same types, in this order), and for few other rows.
 
     A bitmap of hashes that is built on the executors and broadcast. It spares a join rows that cannot match; a join must follow, and with more ids than bits it only loses its use.
     """
+    columns = [columns] if isinstance(columns, str) else columns
     # One row for each 32768 bits of the map.
-    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(FILTER_BITS))
-    maps = ids.select(F.bitmap_bucket_number(place).alias("__map"), F.bitmap_bit_position(place).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    own = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    joined = df.withColumn("__bit", F.bitmap_bit_position(own)).join(F.broadcast(maps.withColumnRenamed("__map", "__own")), F.bitmap_bucket_number(own) == F.col("__own"), "left")
+    place = F.pmod(F.xxhash64(*ids.columns), F.lit(FILTER_BITS))
+    maps = ids.select(F.bitmap_bucket_number(place).alias("__own"), F.bitmap_bit_position(place).alias("__bit")).groupBy("__own").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    own = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+    joined = df.withColumn("__bit", F.bitmap_bit_position(own)).join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("__own"), "left")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     listed = F.coalesce(F.getbit(byte, F.pmod("__bit", F.lit(8)).cast("int")) == 1, F.lit(False))
     return joined.withColumn("__listed", listed).drop("__bit", "__bits", "__own")

@@ -15,7 +15,6 @@ input named like a result column are replaced by it. Long texts are cut into pie
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from lacuna.llm.common import arrow_map, read_table, scratch, spread
 
 N = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of a text that are turned into word objects at once.
 PIECE = 4 << 20
 
@@ -54,35 +53,52 @@ def word_pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 class WindowSet:
-    """The windows of some items, by length: hashes in order, word ids to verify with, items of each window."""
+    """The windows of some items, by length: hashes in order, where each window stands in the items' word ids, and the items that hold it. Arrays only, but for the words."""
 
     def __init__(self, items: Iterable[tuple[str | None, bytes | None]], n: int):
         self.vocab: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str | None]] = {}
+        names, parts = [], []
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for ws in word_pieces(text or b"") for w in ws]
-            m = min(n, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                found.setdefault(tuple(ids[i : i + m]), set()).add(item)
+            names.append(item)
+            parts.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for ws in word_pieces(text or b"") for w in ws], dtype=np.int32))
+        self.names = names
+        self.ids = np.concatenate([*parts, np.zeros(0, np.int32)])
         self.code = np.random.default_rng(7).integers(1, 1 << 63, len(self.vocab) + 1, dtype=np.uint64)
+        size = np.array([len(p) for p in parts], dtype=np.int64)
+        start = np.cumsum(size) - size
         self.by_length = {}
-        for m in sorted({len(k) for k in found}):
-            keys = [k for k in found if len(k) == m]
-            ids = np.array(keys, dtype=np.int32).reshape(-1, m)
-            h = self.hashes(ids, np.arange(len(keys)), m, rows=True)
-            order = np.argsort(h, kind="stable")
-            self.by_length[m] = (h[order], ids[order], [sorted(x for x in found[keys[i]] if x is not None) for i in order])
-
-    def hashes(self, ids: np.ndarray, at: np.ndarray, m: int, rows: bool = False) -> np.ndarray:
+        for m in sorted({min(n, k) for k in size.tolist() if k}):
+            some = np.flatnonzero(np.minimum(size, n) == m)
+            windows = size[some] - m + 1
+            item = np.repeat(some, windows)
+            at = start[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+            h = self.hashes(self.ids, at, m)
+            order = np.lexsort((item, h))
+            h, at, item = h[order], at[order], item[order]
+            # Equal windows become one with all its items; windows that differ in spite of one hash stay apart.
+            other = np.ones(len(h), dtype=bool)
+            other[1:] = (h[1:] != h[:-1]) | (self._words(at[1:], m) != self._words(at[:-1], m)).any(axis=1)
+            first = np.flatnonzero(other)
+            self.by_length[m] = (h[first], at[first], np.append(first, len(h)), item)
+
+    def _words(self, at: np.ndarray, m: int) -> np.ndarray:
+        return self.ids[at[:, None] + np.arange(m)]
+
+    def items(self, m: int, k: int) -> set[str]:
+        """The ids of the items that hold the k-th window of length m; null ids are left out."""
+        _, _, first, item = self.by_length[m]
+        return {self.names[i] for i in item[first[k] : first[k + 1]].tolist()} - {None}
+
+    def hashes(self, ids: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
         h = np.zeros(len(at), dtype=np.uint64)
         for j in range(m):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + self.code[ids[at, j] if rows else ids[at + j]]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + self.code[ids[at + j]]
         return h ^ (h >> np.uint64(29))
 
     def occurrences(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, positions, windows) of what occurs in ``ids``; -1 is a word of no item."""
         gap = np.concatenate(([0], np.cumsum(ids < 0)))
-        for m, (hashes, keys, _) in self.by_length.items():
+        for m, (hashes, place, _, _) in self.by_length.items():
             if len(ids) < m:
                 continue
             at = np.flatnonzero(gap[m:] == gap[:-m])
@@ -94,7 +110,7 @@ class WindowSet:
             for step in range(int((hi - lo).max(initial=0))):
                 k = lo + step
                 some = np.flatnonzero(k < hi)
-                same = (keys[k[some]] == ids[at[some, None] + np.arange(m)]).all(axis=1)
+                same = (self._words(place[k[some]], m) == ids[at[some, None] + np.arange(m)]).all(axis=1)
                 if same.any():
                     yield m, at[some][same], k[some][same]
 
@@ -129,9 +145,8 @@ def scan_batch(texts: list[bytes | None], windows: WindowSet) -> tuple[list[int]
     for m, at, which in windows.occurrences(ids):
         np.add.at(edge, at, 1)
         np.add.at(edge, at + m, -1)
-        names = windows.by_length[m][2]
         for d, k in set(zip((np.searchsorted(starts, at, side="right") - 1).tolist(), which.tolist(), strict=True)):
-            items[d].update(names[k])
+            items[d] |= windows.items(m, k)
     if edge.any():
         hit = np.cumsum(edge[:-1]) > 0
         for d in np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1).tolist():
@@ -159,11 +174,11 @@ def blocks_of(items: DataFrame, item: str, text: str, block_bytes: int) -> Itera
     """The items, streamed to the driver in blocks of bounded size."""
     block, held = [], 0
     for r in items.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).toLocalIterator():
-        block.append((r["i"], bytes(r["t"]) if r["t"] is not None else None))
-        held += len(block[-1][1] or b"")
         if held >= block_bytes:
             yield block
             block, held = [], 0
+        block.append((r["i"], bytes(r["t"]) if r["t"] is not None else None))
+        held += len(block[-1][1] or b"")
     yield block
 
 
@@ -227,30 +242,6 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def brute_force(docs: Iterable[tuple], items: Iterable[tuple], n: int = N) -> dict:
-    """What the query must return, by plain search; for tests."""
-    import re
-
-    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    wins = {}
-    for i, t in items:
-        w = words(t)
-        m = min(n, len(w))
-        for k in range(len(w) - m + 1 if m else 0):
-            wins.setdefault(tuple(w[k : k + m]), set()).add(i)
-    out = {}
-    for d, t in docs:
-        w, hit, found = words(t), set(), set()
-        for m in {len(k) for k in wins}:
-            for k in range(len(w) - m + 1):
-                if (key := tuple(w[k : k + m])) in wins:
-                    hit.update(range(k, k + m))
-                    found |= wins[key]
-        names = sorted({str(x) for x in found if x is not None})
-        out[d] = (len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit))
-    return out
-
-
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

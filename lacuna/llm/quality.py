@@ -1,67 +1,90 @@
 """Quality by naive Bayes support vectors.
 
-Features are indicators of n-grams (n = 1 to 3) over the shapes of chunks (what stands between ASCII white space): letter case, digits, signs as
-they are at its ends, and whether the chunk repeats one of the two before it. An indicator says that an n-gram makes up at least one of some shares of the text's n-grams, so
-that a rare mark in a long text is another feature than one at every word. Indicators are scaled by their class log-count ratio; a linear hinge-loss model over these is
+Features are indicators of n-grams over the chunks of a text (what stands between ASCII white space): of their words in lower case (n = 1 and 2), and of their shapes (n = 1 to 3): letter case, digits, signs as
+they are at its ends, and whether the chunk repeats one of the two before it. Case, digits and signs are Unicode's. A word n-gram's indicator says that it occurs, a shape n-gram's that it makes up at least one of some
+shares of the text's n-grams, so that a rare mark in a long text is another feature than one at every word. Indicators are scaled by their class log-count ratio; a linear hinge-loss model over these is
 fitted by dual coordinate descent, and a logistic curve through its margins gives the score.
 
-The model is fitted on a bounded sample (``PER_CLASS`` labelled rows of each class, outside the held-out fold). All documents are scored over their whole texts.
+The model is fitted on a bounded sample (``PER_CLASS`` labelled rows of each class, outside the held-out fold) with the features of ``LEAST_DOCS`` sampled documents and a least gain
+(:data:`~lacuna.llm.labelled.LEAST_GAIN`). All documents are read and scored over their whole texts.
 
-Defined cases: null and empty texts have no n-grams and the score of the bias; very long texts are read in pieces (an n-gram does not run across two
-pieces of a million bytes); a sample without both classes gives its own share of good rows as every score (1 without rows: nothing is rejected); repeated rows are scored alike;
+Defined cases: null and empty texts have no n-grams and the score of the bias; very long texts are read in pieces, and n-grams run across these; a sample without both
+classes or without a telling feature gives its own share of good rows as every score (1 without rows, and no less than ``THRESHOLD`` in the second case: nothing is rejected); repeated rows are scored alike;
 extra columns are carried along.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import held_out, read_table, spread
-from lacuna.llm.labelled import labelled_sample, sampled_features, scored
+from lacuna.llm.labelled import labelled_sample, scored, selected_features
 
-PER_CLASS, THRESHOLD = 3000, 0.3
+PER_CLASS, LEAST_DOCS, THRESHOLD = 3000, 4, 0.3
 CACHE = 300_000
 #: Bytes of a text that are split at once.
 PIECE = 1 << 20
 #: Shares of a text's n-grams at which an indicator is set; 0: the n-gram occurs at all.
 SHARES = (0.0, 0.01, 0.05, 0.2, 0.5)
-N = 3
+N, WORD_N = 3, 2
 
 
-#: A byte's class: U and l for ASCII letters, N for digits, h for bytes of other characters; white space and signs stay as they are.
-_CLASS = bytes(0x68 if b >= 0x80 else 0x55 if chr(b).isupper() else 0x6C if chr(b).islower() else 0x4E if chr(b).isdigit() else b for b in range(256))
-_INNER = b"UlNh"
+#: A byte's class: U and l for ASCII letters, N for digits; white space, signs and bytes of other characters stay as they are.
+_CLASS = bytes(0x55 if chr(b).isupper() and b < 0x80 else 0x6C if chr(b).islower() and b < 0x80 else 0x4E if 0x30 <= b < 0x3A else b for b in range(256))
+_INNER = "UlNh"
 
 
-def shape(classes: bytes) -> bytes:
-    """The shape of a chunk, given by the classes of its bytes: one letter for its inside, then its outer signs, two at most at each side.
+class _Classes(dict):
+    """Characters beyond ASCII by their class, learnt as they come: U, l, N as above, h for letters without case and marks; signs and blanks stay."""
+
+    def __missing__(self, c: int) -> int:
+        kind = unicodedata.category(chr(c)) if c >= 0x80 else "-"
+        self[c] = found = ord({"Lu": "U", "Lt": "U", "Ll": "l"}.get(kind) or {"L": "h", "M": "h", "N": "N"}.get(kind[0]) or chr(c))
+        return found
+
+
+_CLASSES = _Classes()
+
+
+def classes_of(piece: bytes) -> bytes:
+    """A piece with each character's class in its place; white space stays."""
+    if not piece.isascii():
+        piece = piece.decode("utf-8", "surrogatepass").translate(_CLASSES).encode("utf-8", "surrogatepass")
+    return piece.translate(_CLASS)
+
+
+def shape(classes: str) -> str:
+    """The shape of a chunk, given by the classes of its characters: one letter for its inside, then its outer signs, two at most at each side.
 
     U: upper case, T: begins with an upper-case letter, l: other letters, N: digits, M: anything else; + marks a long one.
     """
-    core = classes.lstrip(_SIGNS)
-    head = classes[: len(classes) - len(core)]
-    core = core.rstrip(_SIGNS)
-    tail = classes[len(head) + len(core) :]
+    a, b = 0, len(classes)
+    while a < b and classes[a] not in _INNER:
+        a += 1
+    while b > a and classes[b - 1] not in _INNER:
+        b -= 1
+    head, core, tail = classes[:a], classes[a:b], classes[b:]
     inside = set(core)
     if not core:
-        kind = b""
-    elif inside <= set(b"Ulh"):
-        kind = b"l" if 0x55 not in inside else b"U" if 0x6C not in inside and len(core) > 1 else b"T" if core[0] == 0x55 else b"l"
-        kind += b"+" if len(core) > 20 else b""
+        kind = ""
+    elif inside <= set("Ulh"):
+        kind = "l" if "U" not in inside else "U" if "l" not in inside and len(core) > 1 else "T" if core[0] == "U" else "l"
+        kind += "+" if len(core) > 20 else ""
     else:
-        kind = b"N" if inside == {0x4E} else b"M"
+        kind = "N" if inside == {"N"} else "M"
     return head[:2] + kind + tail[-2:]
 
 
-_SIGNS = bytes(b for b in range(0x80) if b not in _INNER)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,46 +100,77 @@ def pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
+def _grams(code: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams of a sequence of codes."""
+    h = code
+    for i in range(1, n):
+        h = h[:-1] * _GOLDEN + code[i:]
+        h = h ^ (h >> np.uint64(31))
+    return h * _GOLDEN + np.uint64(n)
+
+
+class Counts:
+    """n-grams and their numbers, merged piece by piece, so that memory grows with the distinct ones only. n-grams run across pieces."""
+
+    def __init__(self, most: int):
+        self.most, self.last = most, np.zeros(0, np.uint64)
+        self.names = [np.zeros(0, np.uint64)] * most
+        self.count = [np.zeros(0, np.int64)] * most
+
+    def add(self, code: np.ndarray) -> None:
+        whole = np.concatenate((self.last, code))
+        for n in range(1, self.most + 1):
+            part = whole[max(0, len(self.last) - n + 1) :]
+            if len(part) < n:
+                continue
+            names, count = np.unique(_grams(part, n), return_counts=True)
+            if len(self.names[n - 1]):
+                names, at = np.unique(np.concatenate((self.names[n - 1], names)), return_inverse=True)
+                count = np.bincount(at, weights=np.concatenate((self.count[n - 1], count))).astype(np.int64)
+            self.names[n - 1], self.count[n - 1] = names, count
+        self.last = whole[max(0, len(whole) - self.most + 1) :]
+
+
 class Shapes:
-    """64-bit features of a text; the codes of byte-class patterns, of which there are few, are kept in a bounded cache."""
+    """64-bit features of a text; the codes of words and of class patterns are kept in bounded caches."""
 
     def __init__(self):
         self.cache: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
 
-    def _codes(self, piece: bytes) -> np.ndarray:
-        cache = self.cache
+    def _codes(self, piece: bytes, before: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Codes of a piece's shapes and words, and its last two chunks; ``before``: those of the piece before."""
+        cache, words = self.cache, self.words
         if len(cache) > CACHE:
             cache.clear()
-        part, patterns = piece.split(), piece.translate(_CLASS).split()
+        if len(words) > CACHE:
+            words.clear()
+        part, patterns, low = piece.split(), classes_of(piece).split(), piece.lower().split()
         for c in set(patterns) - cache.keys():
-            cache[c] = zlib.crc32(shape(c)) << 2
+            cache[c] = zlib.crc32(shape(c.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")) << 2
+        for w in set(low) - words.keys():
+            words[w] = xxhash.xxh64_intdigest(w, 5)
         n = len(part)
-        code = np.fromiter(map(cache.__getitem__, patterns), dtype=np.uint64, count=n)
-        again = np.zeros(n, dtype=np.uint64)
-        again[1:] = np.fromiter(map(eq, part, part[1:]), dtype=bool, count=max(n - 1, 0))
-        again[2:] |= np.fromiter(map(eq, part, part[2:]), dtype=bool, count=max(n - 2, 0)).astype(np.uint64) << np.uint64(1)
-        return code + again
+        shapes = np.fromiter(map(cache.__getitem__, patterns), dtype=np.uint64, count=n)
+        run, k = before + part, len(before)
+        again = np.zeros(len(run), dtype=np.uint64)
+        again[1:] = np.fromiter(map(eq, run, run[1:]), dtype=bool, count=max(len(run) - 1, 0))
+        again[2:] |= np.fromiter(map(eq, run, run[2:]), dtype=bool, count=max(len(run) - 2, 0)).astype(np.uint64) << np.uint64(1)
+        return shapes + again[k:], np.fromiter(map(words.__getitem__, low), dtype=np.uint64, count=n), run[-2:]
 
     def __call__(self, text: str) -> np.ndarray:
-        grams: list[list[np.ndarray]] = [[] for _ in range(N)]
+        shapes, words, last = Counts(N), Counts(WORD_N), []
         for piece in pieces(text.encode("utf-8", "surrogatepass")):
-            code = h = self._codes(piece)
-            for n in range(N):
-                if n:
-                    h = h[:-1] * _GOLDEN + code[n:]
-                    h = h ^ (h >> np.uint64(31))
-                if len(h):
-                    grams[n].append(h * _GOLDEN + np.uint64(n))
-        out = []
-        for parts in grams:
-            if not parts:
-                continue
-            names, count = np.unique(np.concatenate(parts), return_counts=True)
-            share = count / count.sum()
+            of_shapes, of_words, last = self._codes(piece, last)
+            shapes.add(of_shapes)
+            words.add(of_words)
+        out = [w ^ np.uint64(0x94D049BB133111EB) for w in words.names]
+        for names, count in zip(shapes.names, shapes.count, strict=True):
+            share = count / max(1, count.sum())
             for level, least in enumerate(SHARES):
                 some = names[share >= least] if least else names
                 out.append((some ^ (some >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(level))
-        return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+        return np.unique(np.concatenate(out)).view(np.int64)
 
 
 @dataclass
@@ -183,35 +237,32 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, least_docs: int = 3, alpha: float = 1.0, cost: float = 1.0) -> QualityModel:
-    """Log-count ratios, hinge-loss weights and the curve."""
-    if not len(y) or y.min() == y.max():
+def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, names: np.ndarray, alpha: float = 1.0, cost: float = 1.0) -> QualityModel:
+    """Log-count ratios of ``names``, hinge-loss weights and the curve."""
+    if not len(y) or y.min() == y.max() or not len(names):
         p = float(np.clip(y.mean() if len(y) else 1.0, 1e-3, 1 - 1e-3))
+        p = max(p, THRESHOLD + 1e-3) if len(y) and y.min() != y.max() else p
         return QualityModel(0.0, 1.0, math.log(p / (1 - p)))
-    doc = np.repeat(np.arange(len(y)), np.diff(starts))
-    names, at = np.unique(feats, return_inverse=True)
-    n1 = np.bincount(at, weights=y[doc], minlength=len(names))
-    n0 = np.bincount(at, minlength=len(names)) - n1
-    ok = n1 + n0 >= least_docs
-    ratio = np.log((n1 + alpha) / (n1[ok].sum() + alpha * ok.sum())) - np.log((n0 + alpha) / (n0[ok].sum() + alpha * ok.sum()))
-    number = np.cumsum(ok) - 1
-    use = ok[at]
-    cols, vals, doc = number[at[use]], ratio[at[use]], doc[use]
+    doc, cols = np.repeat(np.arange(len(y)), np.diff(starts)), np.searchsorted(names, feats)
+    n1 = np.bincount(cols, weights=y[doc], minlength=len(names))
+    n0 = np.bincount(cols, minlength=len(names)) - n1
+    ratio = np.log((n1 + alpha) / (n1.sum() + alpha * len(names))) - np.log((n0 + alpha) / (n0.sum() + alpha * len(names)))
+    vals = ratio[cols]
     cut = np.searchsorted(doc, np.arange(len(y) + 1))
     rows = [(cols[a:b], vals[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
     sign = np.where(y == 1, 1.0, -1.0)
     c = np.where(y == 1, cost * 0.5 * len(y) / (y == 1).sum(), cost * 0.5 * len(y) / (y == 0).sum())
-    w, b = dual_coordinate_descent(rows, sign, int(ok.sum()), c)
+    w, b = dual_coordinate_descent(rows, sign, len(names), c)
     margin = np.array([float(w[k] @ v) + b for k, v in rows])
     slope, shift = logistic_curve(margin, y)
-    weights = w * ratio[ok]
+    weights = w * ratio
     some = np.abs(weights) > 1e-7
-    return QualityModel(float(b), slope, shift, names[ok][some], weights[some])
+    return QualityModel(float(b), slope, shift, names[some], weights[some])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", **how) -> QualityModel:
     sample = labelled_sample(docs, labels, "quality", per_class, text=text)
-    return train(*sampled_features(sample, lambda t: Shapes()(t)), **how)
+    return train(*selected_features(sample, lambda t: Shapes()(t), LEAST_DOCS), **how)
 
 
 def with_quality(docs: DataFrame, model: QualityModel, text: str = "text", column: str = "score") -> DataFrame:

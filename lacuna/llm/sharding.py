@@ -9,7 +9,7 @@ combining; records fall into ``buckets`` ranges of a second hash (of key and con
 range); the sizes of the ranges (at most shards x buckets rows, a fixed bound) give each its first slot, and a window numbers records within it.
 
 Defined cases: a null key hashes like the empty string; a null text has 0 bytes and the CRC of the empty text; repeated
-rows keep one slot each; an empty table gives an empty result; extra columns of the input are carried along unless
+rows keep one slot each; an empty table gives an empty result; of the input's other columns those named in ``keep`` are carried along unless
 their name is one of the result's, which then replaces them.
 """
 
@@ -55,8 +55,8 @@ def with_slots(df: DataFrame, shard: str, scatter: Column, order: Sequence[str],
     placed = ranged.join(F.broadcast(first), [shard, "__bucket"])
     within = Window.partitionBy(shard, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = placed.withColumn("__start", F.col("__first") + F.coalesce(F.sum(times).over(within), F.lit(0)))
-    # Repeats are told apart in two steps, so that no array grows with their number.
-    steps = start.withColumn("__step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / STEP))))
+    # Repeats are told apart in two steps, so that no array grows with their number, and the steps of one record are dealt out.
+    steps = start.withColumn("__step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / STEP)))).repartition("__start", "__step")
     last = F.least(F.col(times), (F.col("__step") + 1) * STEP) - 1
     return steps.withColumn("__i", F.explode(F.sequence(F.col("__step") * STEP, last))).withColumn(slot, F.col("__start") + F.col("__i")).drop("__bucket", "__first", "__start", "__step", "__i", times)
 

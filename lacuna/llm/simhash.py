@@ -15,7 +15,7 @@ linking, and get the component of their fingerprint if a document with an id has
 document; an empty table gives an empty result. Very long texts are tokenised in pieces.
 
 The pipeline's stage (:func:`similar_groups`) joins texts by the Jaccard similarity of their shingle sets. Buckets are ``BANDS`` bands of minima (a fixed number at any size), the bit-sliced
-comparison with a wide radius leaves the candidates, and every link is verified on the whole shingle sets. Shingles are told apart by 64-bit hashes.
+comparison with a wide radius leaves the candidates, and every link is verified on the whole shingle sets, within the task that holds the bucket: pairs never become rows. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BUCKET = 4096
 PIECE = 4 << 20
 #: Bands of minima and minima of a band: two sets of similarity s share a band with probability 1 - (1 - s^MINIMA)^BANDS; at s = 0.8 one pair in 300,000 shares none.
 BANDS, MINIMA = 24, 4
+#: Shingles of a bucket's sets, about, that one task holds at once.
+HOT_SHINGLES = 1 << 22
 _BLANKS = b" \t\n\r\x0b\x0c"
 
 
@@ -162,9 +164,10 @@ def bucketed(reps: DataFrame, tables: Sequence[Sequence[int]], width: int) -> Da
     return arrow_map(reps.select("fp", "node"), deal, "bucket long, fp binary, node long")
 
 
-def shared_buckets(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """The rows of buckets that hold two and more, with ``part``: a bucket above ``hot`` rows becomes one part for each pair of its groups; others are part 0."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("bucket", F.ceil(F.col("__n") / hot).cast("int").alias("__g"))
+def shared_buckets(rows: DataFrame, hot: int = HOT, weight: str | None = None) -> DataFrame:
+    """The rows of buckets that hold two and more, with ``part``: a bucket above ``hot`` rows (or summed weights) becomes one part for each pair of its groups; others are part 0."""
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.greatest(F.ceil(size / hot), F.lit(1)).cast("int").alias("__g")).where("__n > 1").drop("__n")
     dealt = rows.join(sizes, "bucket").withColumn("__mine", F.pmod(F.xxhash64("node"), F.col("__g")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__g") - 1)))
     return dealt.withColumn("part", F.least("__mine", "__other") * F.col("__g") + F.greatest("__mine", "__other")).drop("__g", "__mine", "__other")
 
@@ -293,14 +296,14 @@ def link_block(bucket: np.ndarray, fps: np.ndarray, radius: int, step: int = 1 <
     return tuple(np.concatenate([e[x] for e in ends] or [np.empty(0, np.int64)]) for x in (0, 1))
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch], block: int = 1 << 16) -> Iterator[pa.Table]:
-    """Rows sorted by bucket and part in tables of about ``block`` rows that cut no part."""
+def whole_buckets(batches: Iterator[pa.RecordBatch], block: int = 1 << 16, most: int = 1 << 26) -> Iterator[pa.Table]:
+    """Rows sorted by bucket and part in tables of about ``block`` rows or ``most`` bytes that cut no part."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = size = 0
     for batch in batches:
         held.append(batch)
-        n += batch.num_rows
-        if n < block:
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n < block and size < most:
             continue
         table = pa.Table.from_batches(held)
         b, p = table.column("bucket").to_numpy(), table.column("part").to_numpy()
@@ -308,7 +311,8 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], block: int = 1 << 16) -> It
         if len(border):
             end = int(border[-1]) + 1
             yield table.slice(0, end)
-            held, n = table.slice(end).combine_chunks().to_batches(), table.num_rows - end
+            rest = table.slice(end).combine_chunks()
+            held, n, size = rest.to_batches(), rest.num_rows, rest.nbytes
     if n:
         yield pa.Table.from_batches(held)
 
@@ -408,66 +412,76 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(met.dropDuplicates(["__id", "node", "__h"]).select("node", "key", "text"), make, "node long, s binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole shingle sets have at least the Jaccard similarity."""
+class Meetings:
+    """Candidate pairs of a bucket's rows: within the radius, of sizes that the similarity allows, and only where the two share no earlier band, so that each pair is looked at once."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= int(_least(similarity, len(x) + len(y) - both)))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def __init__(self, part: pa.Table, similarity: float, wide: int, width: int):
+        self.band, self.n = part.column("band").to_numpy(), part.column("n").to_numpy().astype(np.int64)
+        self.bands = part.column("bands").combine_chunks().values.to_numpy().reshape(len(part), -1)
+        self.fps, self.similarity, self.wide = _fp_array(part.column("fp"), width), similarity, wide
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return cut(arrow_map(joined.select("a", "b", "x", "y"), compare, "a long, b long"))
+    def pairs(self, group: np.ndarray, open_: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, distance) in parts; pairs that are not ``open_`` any more are passed over."""
+        for i, j, d in pairs_within(group, self.fps, self.wide):
+            for k in range(0, len(i), step):
+                a, b, e = i[k : k + step], j[k : k + step], d[k : k + step]
+                some = open_(a, b) & (np.minimum(self.n[a], self.n[b]) >= _least(self.similarity, np.maximum(self.n[a], self.n[b])))
+                a, b, e = a[some], b[some], e[some]
+                first = (self.bands[a] == self.bands[b]).argmax(axis=1) == self.band[a]
+                if first.any():
+                    yield a[first], b[first], e[first]
 
 
-def close_pairs(placed: DataFrame, close: int, wide: int, width: int) -> DataFrame:
-    """(a, b, close): a forest of links within the radius ``close`` (true), and each node that has another within ``wide``, beside itself (false)."""
+def meeting_places(placed: DataFrame, similarity: float, wide: int, width: int) -> DataFrame:
+    """(bucket, part, band, node): where each node has a candidate to be compared with."""
 
     def compare(part: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node = part.column("node").to_numpy()
-        label, near = np.arange(len(node)), np.zeros(len(node), dtype=bool)
-        for i, j, d in pairs_within(group, _fp_array(part.column("fp"), width), wide):
+        near = np.zeros(len(part), dtype=bool)
+        for i, j, _ in Meetings(part, similarity, wide, width).pairs(group, lambda i, j: ~(near[i] & near[j])):
             near[i] = near[j] = True
-            i, j = i[d <= close], j[d <= close]
-            label, used = _union(label, i, j)
-            for u in used:
-                yield _pairs(node[i[u]], node[j[u]], close=np.ones(len(u), dtype=bool))
-        own = np.unique(node[near])
-        if len(own):
-            yield _pairs(own, own, close=np.zeros(len(own), dtype=bool))
+        yield from part.select(["bucket", "part", "band", "node"]).filter(pa.array(near)).to_batches()
+
+    return in_buckets(placed, compare, "bucket long, part int, band int, node long")
 
-    return in_buckets(placed, compare, "a long, b long, close boolean").where("a <> b or not close").distinct()
 
+def verified_links(met: DataFrame, similarity: float, wide: int, width: int) -> DataFrame:
+    """(a, b): links between nodes whose whole sets (column ``s``) have at least the similarity, one fewer in each bucket than the nodes that they connect.
+
+    Nearest candidates come first, and pairs that links connect already are passed over; what fails is followed by ever larger shares of the rest.
+    """
 
-def open_pairs(placed: DataFrame, similarity: float, wide: int, width: int) -> DataFrame:
-    """(a, b) of (bucket, part, node, fp, n, comp) within the radius that differ in ``comp``, and in size by no more than the similarity allows."""
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= int(_least(similarity, len(x) + len(y) - both))
 
     def compare(part: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, comp, n = (part.column(c).to_numpy() for c in ("node", "comp", "n"))
-        some = np.zeros(len(node), dtype=bool)  # rows of groups that hold two components
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
-        mixed = np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge)
-        some = mixed[group - group[0]]
-        if not some.any():
-            return
-        node, comp, n = node[some], comp[some], n[some].astype(np.int64)
-        for i, j, _ in pairs_within(group[some], _fp_array(part.column("fp"), width)[some], wide):
-            ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= _least(similarity, np.maximum(n[i], n[j])))
-            if ok.any():
-                yield _pairs(node[i[ok]], node[j[ok]])
-
-    return in_buckets(placed, compare, "a long, b long").where("a <> b").distinct()
-
-
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, words: int = 4, hot: int = HOT) -> DataFrame:
+        node, sets = part.column("node").to_numpy(), [memoryview(x.as_buffer()) for x in part.column("s").combine_chunks()]
+        label = np.arange(len(node))
+        for i, j, d in Meetings(part, similarity, wide, width).pairs(group, lambda i, j: (label[i] != label[j]) & (node[i] != node[j])):
+            order = np.argsort(d, kind="stable")
+            i, j, more = i[order], j[order], 0
+            while len(i):
+                _, used = _union(label, i, j)
+                take = np.zeros(len(i), dtype=bool)
+                take[:more] = True
+                take[np.concatenate(used)] = True
+                good = take.copy()
+                good[take] = [similar(sets[a], sets[b]) for a, b in zip(i[take].tolist(), j[take].tolist(), strict=True)]
+                label, used = _union(label, i[good], j[good])
+                for u in used:
+                    yield _pairs(node[i[good][u]], node[j[good][u]])
+                left = ~take & (label[i] != label[j])
+                i, j, more = i[left], j[left], 2 * int(take.sum())
+
+    return in_buckets(met, compare, "a long, b long", block=1 << 13).distinct()
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, words: int = 4, hot: int = HOT_SHINGLES) -> DataFrame:
     """(doc_id, key, component, component_id) of every row: components of the texts whose sets of k-word shingles have at least the Jaccard similarity.
 
-    Equal sets are one node (``key``, 128 bits of its hashes). Nodes meet in the buckets of their bands. Bit-sliced comparison finds a forest of close links first; after these are verified and joined,
-    all pairs within the wide radius (six standard deviations beyond the similarity's mean) that are still in different components follow, so a group of many copies is no matter of all its pairs.
+    Equal sets are one node (``key``, 128 bits of its hashes). Nodes meet in the buckets of their bands; a bucket above ``hot`` shingles is dealt out as pairs of groups. Bit-sliced comparison of
+    fingerprints finds candidates (six standard deviations beyond the similarity's mean); only nodes that have one get their sets, made anew from the texts, and only in the buckets where they have one.
     component_id is the smallest id of the component, null if it has none.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -489,15 +503,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = cut(arrow_map(spread(docs), make, "doc_id long, key binary, fp binary, n int, bands array<long>"))
     nodes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("fp", "n", "bands")]).withColumn("node", F.monotonically_increasing_id()))
-    met = shared_buckets(nodes.select(F.explode("bands").alias("bucket"), "node"), hot)
-    placed = cut(met.join(nodes.select("node", "fp", "n"), "node"))
+    met = shared_buckets(nodes.select(F.posexplode("bands").alias("band", "bucket"), "node", "n"), hot, "n").drop("n")
+    about = nodes.select("node", "fp", "n", "bands")
     wide = radius_for(similarity, bits, 6.0)
-    found = cut(close_pairs(placed, radius_for((1 + similarity) / 2, bits, 1.4), wide, width))
-    sets = cut(shingle_sets(nodes.join(found.where("not close").select(F.col("a").alias("node")), "node", "left_semi").select("node", "key", "doc_id"), docs, k))
-    close = verified(found.where("close").select("a", "b"), sets, similarity)
-    named = placed.join(components(close).withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = verified(open_pairs(named, similarity, wide, width), sets, similarity)
-    whole = nodes.select("key", "doc_id", "node").join(components(close.unionByName(rest)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    places = cut(meeting_places(met.join(about, "node"), similarity, wide, width))
+    wanted = nodes.join(places.select("node").distinct(), "node")
+    sets = shingle_sets(wanted.select("node", "key", "doc_id"), docs, k)
+    links_ = verified_links(places.join(wanted.select("node", "fp", "n", "bands"), "node").join(sets, "node"), similarity, wide, width)
+    whole = nodes.select("key", "doc_id", "node").join(components(links_), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.select("doc_id", "key").join(whole.select("key", "component"), "key").join(least, "component").select("doc_id", "key", "component", "component_id")
 

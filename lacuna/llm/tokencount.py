@@ -3,13 +3,13 @@
 A pre-token is a chunk between white space with the mark U+2581 before it. Its segmentation is the one of highest total log-probability (ties: fewer tokens). Distinct
 pre-tokens are inserted into a trie whose nodes carry the forward score and token count of their prefix: pre-tokens share the work of common
 prefixes, a new node looks at the pieces that end at it and at the nodes above it, and the terminal's count answers every later occurrence. The trie of a worker is
-bounded by ``NODES``; when it is full a new one is begun, which changes no result.
+bounded by ``nodes``; when it is full a new one is begun, in the middle of a pre-token too, which changes no result: a forward score needs no more of the prefix than the longest piece.
 
-The vocabulary is that of a public SentencePiece file. The file's pieces are in order of frequency, and its probabilities are not given; the model takes Zipf's law,
-log p = -log(rank + 2.7) - log(normaliser). Characters of no piece cost one token for each UTF-8 byte.
+Scores are a parameter (piece to log-probability). By default they are those of the SentencePiece file if it is a unigram model. A file that numbers its merges in place of scores gives only the order of
+frequency of its pieces; its model then takes Zipf's law, log p = -log(rank + 2.7) - log(normaliser). Characters of no piece cost one token for each UTF-8 byte.
 
-Defined cases: null and blank texts have no pre-tokens and no tokens; very long texts are cut into pieces at white space, a very long pre-token makes a chain
-in a trie of its own and is not kept; repeated rows stay; an empty table gives an empty result.
+Defined cases: null and blank texts have no pre-tokens and no tokens; very long texts are cut into pieces at white space, a very long pre-token goes through the trie like
+any other; repeated rows stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import arrow_map, read_table, spread
 
 NODES = 600_000
-#: Pre-tokens of more characters are not kept in the trie.
-LONG = 200
 MARK = "▁"
 PIECE = 1 << 20
 
@@ -42,6 +40,7 @@ class UnigramTrie:
             for c in reversed(p):
                 at = at.setdefault(c, {})
             at[None] = s
+        self.longest = max(map(len, scores))
         self.byte_score = min(scores.values()) - 10.0
         self.clear()
 
@@ -50,10 +49,10 @@ class UnigramTrie:
         self.score, self.count = [0.0], [0]
         self.terminal: dict[str, int] = {}
 
-    def _forward(self, word: str, end: int, score: list[float], count: list[int]) -> tuple[float, int]:
-        """Best score and fewest tokens of word[:end], from those of its shorter prefixes."""
+    def _forward(self, word: str, end: int, score: list[float], count: list[int], first: int) -> tuple[float, int]:
+        """Best score and fewest tokens of word[:end], from those of its prefixes of ``first`` and more letters."""
         n = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        best, fewest = score[end - 1] + n * self.byte_score, count[end - 1] + n
+        best, fewest = score[end - 1 - first] + n * self.byte_score, count[end - 1 - first] + n
         node, at = self.ends, end
         while at:
             at -= 1
@@ -62,9 +61,9 @@ class UnigramTrie:
                 break
             s = node.get(None)
             if s is not None:
-                s += score[at]
-                if s > best or s == best and count[at] + 1 < fewest:
-                    best, fewest = s, count[at] + 1
+                s += score[at - first]
+                if s > best or s == best and count[at - first] + 1 < fewest:
+                    best, fewest = s, count[at - first] + 1
         return best, fewest
 
     def insert(self, word: str) -> int:
@@ -77,32 +76,35 @@ class UnigramTrie:
             path.append(node)
         else:
             return self.count[node]
-        known = len(path) - 1
-        score, count = [self.score[x] for x in path], [self.count[x] for x in path]
-        node = path[-1]
+        known, node = len(path) - 1, path[-1]
+        first = max(0, known - self.longest)
+        score, count = [self.score[x] for x in path[first:]], [self.count[x] for x in path[first:]]
         for i in range(known, len(word)):
-            s, k = self._forward(word, i + 1, score, count)
+            s, k = self._forward(word, i + 1, score, count, first)
+            if len(self.score) > self.nodes:
+                # The rest of this pre-token hangs from a node that no other one reaches.
+                self.clear()
+                child, node = self.child, 1
+                self.score.append(score[-1])
+                self.count.append(count[-1])
             child[node, word[i]] = node = len(self.score)
             self.score.append(s)
             self.count.append(k)
             score.append(s)
             count.append(k)
+            if len(score) > 2 * self.longest + 1024:
+                drop = len(score) - self.longest - 1
+                del score[:drop], count[:drop]
+                first += drop
         return count[-1]
 
     def tokens(self, chunk: str) -> int:
         found = self.terminal.get(chunk)
         if found is None:
-            if len(chunk) > LONG:
-                score, count = [0.0], [0]
-                word = MARK + chunk
-                for i in range(len(word)):
-                    s, k = self._forward(word, i + 1, score, count)
-                    score.append(s)
-                    count.append(k)
-                return count[-1]
             if len(self.score) > self.nodes:
                 self.clear()
-            found = self.terminal[chunk] = self.insert(MARK + chunk)
+            found = self.insert(MARK + chunk)
+            self.terminal[chunk] = found
         return found
 
 
@@ -111,13 +113,21 @@ def zipf_scores(pieces: list[str]) -> dict[str, float]:
     return {p: -math.log(r + 2.7) - total for r, p in enumerate(pieces, 1)}
 
 
-@lru_cache(maxsize=2)
-def trie(path: str) -> UnigramTrie:
+def file_scores(path: str) -> dict[str, float]:
+    """Piece to log-probability of a SentencePiece file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    return UnigramTrie(zipf_scores([sp.id_to_piece(i) for i in plain]))
+    pieces, scores = [sp.id_to_piece(i) for i in plain], [sp.get_score(i) for i in plain]
+    # A numbering: a piece's score is its place, or a mark for pieces that no merge makes.
+    numbered = sum(s == scores[-1] + len(scores) - 1 - i for i, s in enumerate(scores)) > 0.9 * len(scores)
+    return zipf_scores(pieces) if numbered else dict(zip(pieces, scores, strict=True))
+
+
+@lru_cache(maxsize=2)
+def trie(path: str) -> UnigramTrie:
+    return UnigramTrie(file_scores(path))
 
 
 def chunks(text: str) -> Iterator[list[str]]:
@@ -132,11 +142,12 @@ def chunks(text: str) -> Iterator[list[str]]:
     yield text[at:].split()
 
 
-def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_pretokens, n_tokens) per row."""
+def count_tokens(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", scores: dict[str, float] | None = None, nodes: int = NODES) -> DataFrame:
+    """(doc_id, n_pretokens, n_tokens) per row, with the model of a file or with given ``scores``."""
+    shared = None if scores is None else docs.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie(path)
+        t = trie(path) if shared is None else UnigramTrie(shared.value, nodes)
         for b in batches:
             n_pre, n_tok = [], []
             for body in b.column(1).to_pylist():

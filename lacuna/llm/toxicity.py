@@ -4,8 +4,8 @@ A logistic model over the presence of words and of their beginnings (4 and 5 let
 holds identity terms, counterfactuals are made by swapping each term for the others of its group, a neutral word among them. Training adds ``penalty`` x the mean squared
 change of the score under these swaps, so group mentions by themselves move no score, whatever the sample says about them.
 
-The model is fitted on a bounded sample (``PER_CLASS`` labelled rows of each class, outside the held-out fold) with at most ``FEATURES`` features: those with the largest
-likelihood ratio, and all identity terms. All documents are scored over their whole texts.
+The model is fitted on a bounded sample (``PER_CLASS`` labelled rows of each class, outside the held-out fold) with the features of ``LEAST_DOCS`` sampled documents and a least gain
+(:data:`~lacuna.llm.labelled.LEAST_GAIN`), and all identity terms. All documents are read and scored over their whole texts.
 
 Defined cases: null and empty texts have the score of the bias alone; very long texts are read in pieces; a sample without both classes, or without any feature in ``LEAST_DOCS`` documents, gives its own share of
 toxic rows as every score (0 without rows; below one half in the second case); repeated rows are scored alike; extra columns are carried along.
@@ -14,20 +14,20 @@ toxic rows as every score (0 without rows; below one half in the second case); r
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import held_out, read_table, spread
-from lacuna.llm.labelled import labelled_sample, sampled_features, scored
+from lacuna.llm.labelled import labelled_sample, scored, selected_features
 from lacuna.llm.tokencount import PIECE
 
-PER_CLASS, FEATURES, LEAST_DOCS = 4000, 4096, 4
+PER_CLASS, LEAST_DOCS = 4000, 4
 THRESHOLD = 0.5
 CACHE = 300_000
 
@@ -47,7 +47,8 @@ IDENTITY = (
     ("gente", "mujeres", "hombres", "musulmanes", "cristianos", "judíos", "extranjeros", "refugiados", "gitanos"),
 )
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the marks and joiners that belong to them.
+_WORD = regex.compile(r"[\p{L}\p{M}\u200c\u200d]+")
 
 
 def _code(kind: str, s: str) -> int:
@@ -131,30 +132,22 @@ def _swaps(groups: Sequence[Sequence[str]]) -> list[tuple[list[int], list[list[i
     return [([_code("w", t) for t in g], [list(word_features(t)) for t in g]) for g in groups]
 
 
-def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, identity: Sequence[Sequence[str]] = IDENTITY, most: int = FEATURES, penalty: float = 5.0, l2: float = 1e-4, steps: int = 400) -> ToxicityModel:
-    """Logistic regression with the counterfactual penalty, by accelerated gradient steps."""
+def identity_features(identity: Sequence[Sequence[str]] = IDENTITY) -> np.ndarray:
+    return np.array(sorted({f for g in identity for t in g for f in word_features(t)}), dtype=np.int64)
+
+
+def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, names: np.ndarray, identity: Sequence[Sequence[str]] = IDENTITY, penalty: float = 5.0, l2: float = 1e-4, steps: int = 400) -> ToxicityModel:
+    """Logistic regression over ``names`` and the identity terms with the counterfactual penalty, by accelerated gradient steps."""
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return ToxicityModel(math.log(p / (1 - p)))
-    # A sample without any telling feature is no ground to reject: its share of toxic rows counts, kept below one half.
-    p = float(np.clip(y.mean(), 1e-3, 0.49))
-    blank = ToxicityModel(math.log(p / (1 - p)))
-    doc = np.repeat(np.arange(len(y)), np.diff(starts))
-    names, at = np.unique(feats, return_inverse=True)
-    n1 = np.bincount(at, weights=y[doc], minlength=len(names))
-    n0 = np.bincount(at, minlength=len(names)) - n1
+    if not len(names):
+        # A sample without any telling feature is no ground to reject: its share of toxic rows counts, kept below one half.
+        p = float(np.clip(y.mean(), 1e-3, 0.49))
+        return ToxicityModel(math.log(p / (1 - p)))
     t1, t0 = y.sum(), len(y) - y.sum()
-    # Likelihood ratio of presence against the class, smoothed.
-    p1, p0, p = (n1 + 0.5) / (t1 + 1), (n0 + 0.5) / (t0 + 1), (n1 + n0 + 1) / (len(y) + 2)
-    gain = t1 * (p1 * np.log(p1 / p) + (1 - p1) * np.log((1 - p1) / (1 - p))) + t0 * (p0 * np.log(p0 / p) + (1 - p0) * np.log((1 - p0) / (1 - p)))
-    terms = np.array(sorted({f for g in identity for t in g for f in word_features(t)}), dtype=np.int64)
-    gain[n1 + n0 < LEAST_DOCS] = 0
-    if not len(gain) or gain.max() <= 0:
-        return blank
-    gain[np.isin(names, terms)] = np.inf
-    keep = np.sort(np.argsort(-gain, kind="stable")[:most])
-    keep = keep[gain[keep] > 0]
-    vocab = np.union1d(names[keep], terms)
+    vocab = np.union1d(names, identity_features(identity))
+    doc = np.repeat(np.arange(len(y)), np.diff(starts))
     col = np.searchsorted(vocab, feats)
     ok = (col < len(vocab)) & (vocab[np.minimum(col, len(vocab) - 1)] == feats)
     col, doc = col[ok], doc[ok]
@@ -187,7 +180,9 @@ def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, identity: Sequen
             n_swaps += 1
     sr, sc, sv = np.array(swap_row), np.array(swap_col), np.array(swap_val)
 
-    weight = np.where(y == 1, 0.5 / t1, 0.5 / t0)  # both classes count alike
+    # Between counting every row and every class alike: rows weigh by the root of their class's share.
+    weight = np.where(y == 1, t1**-0.5, t0**-0.5)
+    weight = weight / weight.sum()
     d = len(vocab)
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
@@ -198,10 +193,10 @@ def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, identity: Sequen
         g += penalty * 2 / n_swaps * np.bincount(sc, weights=sv * change[sr], minlength=d)
         return g, float(r.sum())
 
-    # A bound of the curvature: a quarter of the largest row norm, plus the penalty's.
+    # A bound of the curvature: a quarter of the largest row norm (weights sum up to 1), plus the penalty's.
     row = np.bincount(doc, minlength=len(y)).max(initial=1) + 1
     swap_norm = np.bincount(sc, weights=np.abs(sv) * np.bincount(sr, weights=np.abs(sv), minlength=n_swaps)[sr], minlength=d).max(initial=0)
-    rate = 1 / (0.25 * row * 0.5 + l2 + penalty * 2 / n_swaps * swap_norm)
+    rate = 1 / (0.25 * row + l2 + penalty * 2 / n_swaps * swap_norm)
     w = v = np.zeros(d)
     b = vb = 0.0
     for k in range(steps):
@@ -214,9 +209,10 @@ def train(y: np.ndarray, starts: np.ndarray, feats: np.ndarray, identity: Sequen
     return ToxicityModel(float(b), {int(vocab[i]): float(w[i]) for i in some})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", **how) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", identity: Sequence[Sequence[str]] = IDENTITY, **how) -> ToxicityModel:
     sample = labelled_sample(docs, labels, "toxic", per_class, text=text)
-    return train(*sampled_features(sample, lambda t: np.array(sorted(Features()(t)), dtype=np.int64)), **how)
+    found = selected_features(sample, lambda t: np.array(sorted(Features()(t)), dtype=np.int64), LEAST_DOCS, always=identity_features(identity))
+    return train(*found, identity=identity, **how)
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str = "score") -> DataFrame:

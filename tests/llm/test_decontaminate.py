@@ -1,6 +1,7 @@
 import random
 
 from oracle import rows_of, rows_of_sql
+from plain import brute_force
 
 from lacuna.llm import decontaminate as D
 
@@ -31,16 +32,16 @@ def frames(spark):
 
 def test_equals_brute_force(spark):
     docs, items, df, bench = frames(spark)
-    want = D.brute_force(docs, items)
+    want = brute_force(docs, items)
     assert digest(D.find_contamination(df, bench)) == want
     assert digest(D.find_contamination(df, bench, block_bytes=60)) == want  # many blocks
-    assert digest(D.find_contamination(df, bench.limit(0))) == D.brute_force(docs, [])
+    assert digest(D.find_contamination(df, bench.limit(0))) == brute_force(docs, [])
     assert D.find_contamination(df.limit(0), bench).count() == 0
 
 
 def test_removal(spark):
     docs, items, df, bench = frames(spark)
-    want = D.brute_force(docs, items)
+    want = brute_force(docs, items)
     kept = D.remove_documents(df, bench)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {d for d, w in want.items() if not w[4]}
     cut = D.remove_spans(df, bench)

@@ -1,4 +1,5 @@
 import pytest
+from plain import brute_force
 
 import __spark_entry__ as entry
 
@@ -41,7 +42,7 @@ def test_stages_equal_plain_versions(spark, sf):
     import numpy as np
     from tokenizers import Tokenizer
 
-    from lacuna.llm import bpe, decontaminate, quality, toxicity
+    from lacuna.llm import bpe, quality, toxicity
 
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -65,7 +66,7 @@ def test_stages_equal_plain_versions(spark, sf):
 
     tox = lambda docs, rows: (s := toxicity.fit(docs, labels).scorer()) and {i for i, t in rows.items() if s(t) < 0.5}
     good = lambda docs, rows: (s := quality.fit(docs, labels).scorer()) and {i for i, t in rows.items() if s(t) >= 0.3}
-    clean = lambda docs, rows: {i for i, v in decontaminate.brute_force(rows.items(), bench).items() if not v[4]}
+    clean = lambda docs, rows: {i for i, v in brute_force(rows.items(), bench).items() if not v[4]}
     plain = {"toxicity": tox, "quality": good, "near_duplicates": near, "decontamination": clean}
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -74,3 +74,65 @@ def test_small_payloads_stay_responses(spark):
     path = scratch(spark, "t")
     warc.write_warc(df, path, least=3)
     assert {r["page_id"]: r["record_type"] for r in warc.read_records(spark, path).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_time_grows_in_proportion(tmp_path):
+    """One forward pass: sixteen times the payload takes about sixteen times as long to cut, and every chunk is small."""
+    import time
+
+    def seconds(mb):
+        data = memoryview((b"0123456789abcde\n" * 65536) * mb)
+        began, n = time.perf_counter(), 0
+        for s in warc.segments(1, "u", data, len(data), b"\0" * 20, None, warc.CHUNK, "d"):
+            n += len(s)
+            assert len(s) < warc.CHUNK + 2000
+        assert n > len(data)
+        return time.perf_counter() - began
+
+    seconds(1)
+    assert seconds(128) < 16 * 3 * max(seconds(8), 0.01)
+
+
+def test_many_megabytes(spark):
+    big = "0123456789é" * 3_000_000
+    df = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "x" + big)], "page_id long, url string, html string")
+    path = scratch(spark, "t")
+    warc.write_warc(df, path)
+    assert warc.read_chunks(spark, path).agg({"chunk_no": "max"}).first()[0] >= len(big) // warc.CHUNK
+    for r in warc.read_records(spark, path).collect():
+        p = big if r["page_id"] < 3 else "x" + big
+        assert r["sound"] and r["payload_bytes"] == len(p.encode()) and r["payload_digest"] == b32encode(hashlib.sha1(p.encode()).digest()).decode()
+        assert r["record_type"] == ("revisit" if r["page_id"] == 2 else "response")
+
+
+def test_damage_is_seen(spark, tmp_path):
+    """A revisit whose response is missing or another one, a chunk that was altered: not sound."""
+    df = spark.createDataFrame([(1, "u", "abc" * 9), (2, "u", "abc" * 9), (3, "u", "other"), (4, "u", "y" * 40)], "page_id long, url string, html string")
+    path = scratch(spark, "t")
+    warc.write_warc(df.coalesce(1), path, chunk=16, compression="none")
+    rows = [r["value"] for r in spark.read.option("lineSep", warc.END + warc.VERSION).text(path).collect()]
+
+    def sound(change):
+        out = scratch(spark, "t")
+        kept = [x for r in rows if (x := change(r)) is not None]
+        body = [r.removeprefix(warc.VERSION).removesuffix(warc.END) for r in kept]
+        spark.createDataFrame([(warc.VERSION + b,) for b in body], "value string").coalesce(1).write.option("lineSep", warc.END).text(out)
+        return {r["page_id"]: r["sound"] for r in warc.read_records(spark, out).collect()}
+
+    assert sound(lambda r: r) == {1: True, 2: True, 3: True, 4: True}
+    assert sound(lambda r: None if "Page-ID: 1\r\n" in r else r) == {2: False, 3: True, 4: True}
+    assert sound(lambda r: r.replace("Page-Refers-To: 1", "Page-Refers-To: 3")) == {1: True, 2: False, 3: True, 4: True}
+    assert sound(lambda r: r.replace("yyy", "yzy")) == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_mistaken_by_the_bitmap(spark, monkeypatch):
+    """With a bitmap of few bits most responses pass for revisits; the result stays."""
+    from lacuna.llm import common
+
+    monkeypatch.setattr(common, "FILTER_BITS", 2)
+    df = spark.createDataFrame([(i, "u", f"p{i % 40}") for i in range(60)] + [(None, "u", "p1")], "page_id long, url string, html string")
+    path = scratch(spark, "t")
+    warc.write_warc(df, path)
+    out = warc.read_records(spark, path).collect()
+    assert len(out) == 61 and all(r["sound"] for r in out)
+    assert sorted(r["page_id"] for r in out if r["record_type"] == "response") == list(range(40))
