@@ -18,6 +18,14 @@ def auroc(df: DataFrame, score: str, label: str) -> DataFrame:
     return run.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") - F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"))
 
 
+def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, fpr, tpr): the curve's point for each distinct score as the lowest that counts as positive."""
+    at = df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("y")).groupBy("score").agg(F.sum("y").alias("p"), F.sum(1.0 - F.col("y")).alias("n"))
+    run = running_sums(at, [-F.col("score")], {"tp": F.col("p"), "fp": F.col("n")})
+    total = run.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
+    return run.crossJoin(F.broadcast(total)).select("score", F.try_divide("fp", "all_n").alias("fpr"), F.try_divide("tp", "all_p").alias("tpr"))
+
+
 def topk_accuracy(df: DataFrame, prob: Column, label: Column, k: int) -> DataFrame:
     """One row: the share of rows whose class is among the k likeliest."""
     hit = F.array_contains(F.slice(argsort_desc(prob), 1, k), label.cast("int"))

@@ -129,19 +129,25 @@ def coefficient_variance(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.posexplode(column).alias("k", "x")).groupBy("k").agg(F.var_pop("x").alias("variance"))
 
 
-def should_split(df: DataFrame, column: str, energy: float, threshold: float, mode: str = "energy") -> bool:
-    """Whether a channel's windows (a vector column) deserve a transform of their own.
+def split_score(df: DataFrame, column: str, energy: float, mode: str = "energy") -> float:
+    """What decides whether a channel's windows (a vector column) get a transform of their own.
 
-    energy: its own energy exceeds the threshold. ratio: its energy over the first principal share of its mean-free windows does. mean_abs: the mean over windows of the mean
-    magnitude over that of the first entry does.
+    energy: its own energy. ratio: its energy over the share of the first principal direction of its mean-free windows. mean_abs: the mean over windows of the mean
+    magnitude over that of the first entry.
     """
     if mode == "energy":
-        return energy > threshold
+        return energy
     if mode == "ratio":
         m = moments(df.select(column), lambda b: iter([(0, matrix_of(b.column(column)))]))[0]
         values = np.linalg.eigvalsh(m.cov)
-        return bool(energy / max(values[-1] / max(values.sum(), 1e-300), 1e-300) >= threshold)
+        return float(energy / max(values[-1] / max(values.sum(), 1e-300), 1e-300))
     if mode == "mean_abs":
         size = F.aggregate(column, F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size(column)
-        return (df.agg(F.avg(F.try_divide(size, F.abs(F.element_at(column, 1))))).first()[0] or 0.0) > threshold
+        return df.agg(F.avg(F.try_divide(size, F.abs(F.element_at(column, 1))))).first()[0] or 0.0
     raise ValueError(mode)
+
+
+def should_split(df: DataFrame, column: str, energy: float, threshold: float, mode: str = "energy") -> bool:
+    """Whether :func:`split_score` reaches the threshold (ratio) or exceeds it."""
+    score = split_score(df, column, energy, mode)
+    return score >= threshold if mode == "ratio" else score > threshold

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import VectorAssembler
@@ -66,19 +66,41 @@ def spline_series(t: np.ndarray, v: np.ndarray, mean: float) -> np.ndarray:
 
 
 def impute_spline(df: DataFrame, means: DataFrame | None = None) -> DataFrame:
-    """``imputed`` by a spline per (episode, variable). A group is one episode with all its variables: fewer, larger groups for the Python workers."""
+    """``imputed`` by a spline per (episode, variable).
+
+    Rows are dealt out and sorted by (episode, variable) and streamed in Arrow batches: a task holds one series at a time, not an episode with all its variables.
+    """
     df = df.drop("imputed")
     base = with_var_mean(df, means).select(*df.columns, F.coalesce("__mean", F.lit(0.0)).alias("__mean"))
     schema = T.StructType(df.schema.fields[:]).add("imputed", "double")
-
-    def fill(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["var", "t", "seq"], kind="stable", ignore_index=True)
-        t, v, mean = p["t"].to_numpy(float), p["v"].to_numpy(float), p["__mean"].to_numpy(float)
-        starts = np.flatnonzero(np.concatenate(([True], p["var"].to_numpy()[1:] != p["var"].to_numpy()[:-1])))
-        out = np.concatenate([spline_series(t[a:b], v[a:b], float(mean[a])) for a, b in zip(starts, [*starts[1:], len(p)], strict=True)])
-        return p.drop(columns="__mean").assign(imputed=out)
-
-    return base.groupBy("episode_id").applyInPandas(fill, schema)
+    names = df.columns
+
+    def done(rows: pa.Table) -> pa.Table:
+        """Whole series, sorted, with their values."""
+        e, var = rows.column("episode_id").to_pandas().to_numpy(), rows.column("var").to_pandas().to_numpy()
+        t, v, mean = (rows.column(c).cast(pa.float64()).to_pandas().to_numpy(float) for c in ("t", "v", "__mean"))
+        starts = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (var[1:] != var[:-1]))))
+        out = np.concatenate([spline_series(t[a:b], v[a:b], float(mean[a])) for a, b in zip(starts, [*starts[1:], len(t)], strict=True)])
+        return rows.select(names).append_column("imputed", pa.array(out, pa.float64()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows = pa.Table.from_batches(held)
+            last = (rows.column("episode_id")[-1], rows.column("var")[-1])
+            if (rows.column("episode_id")[0], rows.column("var")[0]) == last:
+                continue
+            e, var = rows.column("episode_id").to_pandas().to_numpy(), rows.column("var").to_pandas().to_numpy()
+            end = int(np.flatnonzero((e != e[-1]) | (var != var[-1]))[-1]) + 1  # the last series may go on
+            yield from done(rows.slice(0, end)).to_batches()
+            held = rows.slice(end).combine_chunks().to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held)).to_batches()
+
+    return base.repartition("episode_id", "var").sortWithinPartitions("episode_id", "var", "t", "seq").mapInArrow(fill, schema)
 
 
 def impute_kmeans(df: DataFrame, half: int = 3, bins: int = 4, kernels: int = 16, clusters: int = 16, seed: int = 0, means: DataFrame | None = None) -> DataFrame:
@@ -98,9 +120,14 @@ def impute_kmeans(df: DataFrame, half: int = 3, bins: int = 4, kernels: int = 16
         n = part.count()
         if not n:
             continue
+        columns = ("episode_id", "var", "idx", "bin_id", "cluster_id", "patch")
+        if min(clusters, n) < 2:  # a single cluster needs no search
+            got = part.withColumn("cluster_id", F.lit(0)).select(*columns)
+            named = got if named is None else named.unionByName(got)
+            continue
         model = fit_saab(part, "patch", min(kernels, 2 * half + 1))
         reduced = transform(part, model, "patch", "__f").withColumn("__vec", array_to_vector("__f"))
-        got = KMeans(k=min(clusters, n), seed=seed, featuresCol="__vec", predictionCol="cluster_id").fit(reduced).transform(reduced).select("episode_id", "var", "idx", "bin_id", "cluster_id", "patch")
+        got = KMeans(k=min(clusters, n), seed=seed, featuresCol="__vec", predictionCol="cluster_id").fit(reduced).transform(reduced).select(*columns)
         named = got if named is None else named.unionByName(got)
     if named is None:
         return filled.select(*df.columns, "imputed")
@@ -113,7 +140,7 @@ def impute_kmeans(df: DataFrame, half: int = 3, bins: int = 4, kernels: int = 16
     return long.unionByName(short)
 
 
-def impute_trees(df: DataFrame, variables: Sequence[str], half: int = 1, trees: int = 20, depth: int = 3, seed: int = 0, means: DataFrame | None = None) -> DataFrame:
+def impute_trees(df: DataFrame, variables: Sequence[str], half: int = 3, trees: int = 100, depth: int = 3, seed: int = 0, means: DataFrame | None = None) -> DataFrame:
     """``imputed`` by a boosted regression per variable on the window of all variables with its own centre hidden; ends are filled forward.
 
     Trees take no missing values: gaps become 0 beside a flag. Predictions never feed later ones.

@@ -83,6 +83,11 @@ def top_features(losses: DataFrame, k: int) -> DataFrame:
     return ranked(losses).where(F.col("rank") <= k)
 
 
+def bottom_features(losses: DataFrame, k: int) -> DataFrame:
+    """The k features of largest loss; ``rank`` counts from the best."""
+    return ranked(losses).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy())).where(F.col("rank") > F.col("__n") - k).drop("__n")  # one row per feature
+
+
 def select_features(df: DataFrame, losses: DataFrame, k: int, *keep: str) -> DataFrame:
     """``df`` with ``keep`` and the k best features, best first."""
     names = [r["feature"] for r in top_features(losses, k).orderBy("rank").collect()]

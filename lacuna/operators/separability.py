@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.scalar import equal_width_bin
 from lacuna.operators.ordering import running_sums
 from lacuna.operators.ranking import unpivoted
+from lacuna.storage import durable
 
 
 def anova_f(df: DataFrame, features: Sequence[str], label: str, textbook: bool = False) -> DataFrame:
@@ -178,16 +179,17 @@ def lloyd_1d(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
 def lloyd_max(df: DataFrame, value: str, bins: int, rounds: int = 20) -> list[float]:
     """Boundaries of the Lloyd-Max quantiser of a column: midpoints of its sorted centroids, with infinite ends.
 
-    Each round is one aggregation on the executors that returns ``bins`` sums; only centroids reach the driver.
+    Distinct values are counted once and kept; each round is one aggregation of these on the executors that returns ``bins`` sums, and only centroids reach the driver.
     """
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
+    counted = durable(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    lo, hi = counted.agg(F.min("x"), F.max("x")).first()
     if lo is None or lo == hi:
         return [float("-inf"), float("inf")]
     c = np.linspace(lo, hi, bins)
     for _ in range(rounds):
         edges = ((c[1:] + c[:-1]) / 2).tolist()
-        b = sum((F.when(F.col(value) >= e, 1).otherwise(0) for e in edges), F.lit(0))
-        got = {r["b"]: r["m"] for r in df.where(F.col(value).isNotNull()).groupBy(b.alias("b")).agg(F.avg(value).alias("m")).collect()}
+        b = sum((F.when(F.col("x") >= e, 1).otherwise(0) for e in edges), F.lit(0))
+        got = {r["b"]: r["m"] for r in counted.groupBy(b.alias("b")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m")).collect()}
         new = np.sort(np.array([got.get(i, c[i]) for i in range(bins)]))
         if np.abs(new - c).max() < 1e-9 * max(1.0, abs(hi - lo)):
             break

@@ -118,10 +118,12 @@ def impute_linear_extrap(df: DataFrame, means: DataFrame | None = None) -> DataF
 
 def window_confidence(df: DataFrame, half: int) -> DataFrame:
     """``conf``: 1 where observed, else the share of observed cells over all variables in the rows i-half .. i+half of the episode, cut at its ends."""
-    rows = df.groupBy("episode_id", "t").agg(F.count("v").alias("__n"), F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy("episode_id").orderBy("t").rowsBetween(-half, half)
-    share = rows.select("episode_id", "t", (F.sum("__n").over(w) / F.sum("__c").over(w)).alias("__share"))
-    return df.join(share, ["episode_id", "t"]).withColumn("conf", F.when(F.col("v").isNotNull(), 1.0).otherwise(F.col("__share"))).drop("__share")
+    # Times of an episode are numbered, so that a range of numbers spans whole rows of the grid: one exchange by episode serves all windows.
+    episode = Window.partitionBy("episode_id").orderBy("t")
+    rows = df.withColumn("__row", F.dense_rank().over(episode))
+    w = Window.partitionBy("episode_id").orderBy("__row").rangeBetween(-half, half)
+    share = F.count("v").over(w) / F.count(F.lit(1)).over(w)
+    return rows.withColumn("conf", F.when(F.col("v").isNotNull(), 1.0).otherwise(share)).drop("__row")
 
 
 def sliding_patches(df: DataFrame, half: int, stride: int = 1, value: str = "v") -> DataFrame:
@@ -173,11 +175,20 @@ def last_rows(df: DataFrame, *values: str, key: str = "episode_id", first: bool
 
 
 def interpolate_by_row(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """Linear by row number over ``order`` within each group of ``episode_id``, ends held."""
-    out = df
-    for c in columns:
-        long = df.select("episode_id", F.lit(c).alias("var"), F.row_number().over(Window.partitionBy("episode_id").orderBy(order)).cast("double").alias("t"), F.lit(0).cast("long").alias("seq"), F.col(c).alias("v"), order)
-        p, n = F.col("__p"), F.col("__n")
-        filled = _around(long).withColumn("imputed", F.coalesce("v", F.when(p.isNotNull() & n.isNotNull(), _line(p, n)), p["v"], n["v"]))
-        out = out.drop(c).join(filled.select("episode_id", order, F.col("imputed").alias(c)), ["episode_id", order], "left")
-    return out.select(*df.columns)
+    """Linear by row number over ``order`` within each group of ``episode_id``, ends held. All columns share one exchange and one sort."""
+    w = Window.partitionBy("episode_id").orderBy(order)
+    numbered = df.withColumn("__row", F.row_number().over(w).cast("double"))
+
+    def filled(c: str) -> Column:
+        seen = F.when(F.col(c).isNotNull(), F.struct(F.col("__row").alias("t"), F.col(c).cast("double").alias("v")))
+        p = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        n = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        line = p["v"] + F.try_divide((n["v"] - p["v"]) * (F.col("__row") - p["t"]), n["t"] - p["t"])
+        return F.coalesce(F.col(c), line, p["v"], n["v"])
+
+    return numbered.select(*[filled(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def plot_frame(df: DataFrame, value: str = "imputed") -> DataFrame:
+    """(episode_id, var, t, value, observed): what a plot of filled series with their observations marked needs."""
+    return df.select("episode_id", "var", "t", F.col(value).alias("value"), F.col("v").isNotNull().alias("observed"))

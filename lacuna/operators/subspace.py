@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Moments:
-    """Count, sum and Gram matrix of rows after their own mean is taken off, largest norm, and sums of the means."""
+    """Count, sum and centred Gram matrix of rows after their own mean is taken off, largest norm, and sums of the means."""
 
     n: float
     s: np.ndarray
@@ -42,7 +43,7 @@ class Moments:
 
     @property
     def cov(self) -> np.ndarray:
-        return (self.g - self.n * np.outer(self.mean, self.mean)) / max(self.n - 1, 1.0)
+        return self.g / max(self.n - 1, 1.0)
 
 
 def _row(node: int, x: np.ndarray, remove_dc: bool, constant: bool) -> dict:
@@ -53,11 +54,16 @@ def _row(node: int, x: np.ndarray, remove_dc: bool, constant: bool) -> dict:
         norm = float(np.sqrt((x * x).sum(axis=1)).max(initial=0.0))
     if constant:
         x = x[x.sum(axis=1) > 1e-5]
-    return {"node": node, "n": float(len(x)), "s": x.sum(axis=0), "g": (x.T @ x).ravel(), "norm": norm, "dc": float(dc.sum()), "dc2": float((dc * dc).sum())}
+    centred = x - x.mean(axis=0) if len(x) else x
+    return {"node": node, "n": float(len(x)), "s": x.sum(axis=0), "g": (centred.T @ centred).ravel(), "norm": norm, "dc": float(dc.sum()), "dc2": float((dc * dc).sum())}
 
 
 def _add(parts: pd.DataFrame) -> dict:
-    return {"n": parts["n"].sum(), "s": np.sum(np.stack(list(parts["s"])), axis=0), "g": np.sum(np.stack(list(parts["g"])), axis=0), "norm": parts["norm"].max(), "dc": parts["dc"].sum(), "dc2": parts["dc2"].sum()}
+    """Sums of parts; Gram matrices stay centred: each part adds what its mean lies off the common one, so that large means cost no digits."""
+    n, s = parts["n"].to_numpy(float), np.stack(list(parts["s"]))
+    off = s / np.maximum(n, 1.0)[:, None] - s.sum(axis=0) / max(n.sum(), 1.0)
+    g = np.sum(np.stack(list(parts["g"])), axis=0) + ((off * n[:, None]).T @ off).ravel()
+    return {"n": n.sum(), "s": s.sum(axis=0), "g": g, "norm": parts["norm"].max(), "dc": parts["dc"].sum(), "dc2": parts["dc2"].sum()}
 
 
 def moments(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], remove_dc: bool = True, constant: bool = False) -> dict[int, Moments]:
@@ -89,10 +95,10 @@ _ARROW = pa.schema([("node", pa.int32()), ("n", pa.float64()), ("s", pa.list_(pa
 
 
 def principal(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvectors as rows and eigenvalues, falling; each vector's largest entry is positive."""
+    """Eigenvectors as rows and eigenvalues, falling; each vector's largest entry (the first, of entries equal to nine digits) is positive."""
     values, vectors = np.linalg.eigh((cov + cov.T) / 2)
     values, rows = values[::-1], vectors.T[::-1]
-    sign = np.sign(rows[np.arange(len(rows)), np.abs(rows).argmax(axis=1)])
+    sign = np.sign(rows[np.arange(len(rows)), np.abs(rows).round(9).argmax(axis=1)])
     return rows * np.where(sign == 0, 1, sign)[:, None], np.maximum(values, 0.0)
 
 
@@ -179,8 +185,12 @@ def fit_pca(df: DataFrame, column: str, components: int | float = -1, bits: int
     return Subspace(np.round(rows * 2.0**bits) if bits else rows, m.mean, energy[:k], kind="pca", bits=bits)
 
 
-def fit_dc_saab(df: DataFrame, column: str, kernels: int = -1, use_dc: bool = True, bits: int = 0) -> Subspace:
-    """The invertible variant: with ``use_dc`` the constant kernel is scaled by the deviation of the means; the bias is the largest norm over sqrt(d)."""
+def fit_dc_saab(df: DataFrame, column: str, kernels: int | float = -1, use_dc: bool = True, bits: int = 0) -> Subspace:
+    """The invertible variant: with ``use_dc`` the constant kernel is scaled by the deviation of the means; the bias is the largest norm over sqrt(d).
+
+    ``kernels``: their number, or a share of the energy; with a share, kernels are kept up to the one with which the sum of their energies exceeds it.
+    """
+    share, kernels = (kernels, -1) if isinstance(kernels, float) else (None, kernels)
     raw = moments(df.select(column), _vectors(column), remove_dc=False)[0]
     d = len(raw.s)
     bias = raw.norm / np.sqrt(d)
@@ -189,12 +199,21 @@ def fit_dc_saab(df: DataFrame, column: str, kernels: int = -1, use_dc: bool = Tr
     k = d if kernels == -1 else kernels
     rows, values = rows[:k], values[:k]
     if not use_dc:
-        return Subspace(np.round(rows * 2.0**bits) if bits else rows, m.mean, values / max(values.sum(), 1e-300), 0.0, bias, "pca", bits)
+        energy = values / max(values.sum(), 1e-300)
+        some = _enough(energy, share)
+        return Subspace((np.round(rows * 2.0**bits) if bits else rows)[:some], m.mean, energy[:some], 0.0, bias, "pca", bits)
     mean_dc = m.dc / m.n
     var = max(m.dc2 / m.n - mean_dc * mean_dc, 1e-300) * d
     rows = np.vstack((np.full((1, d), 1 / np.sqrt(d) / np.sqrt(var)), rows[:-1]))
     energy = np.concatenate(([var], values[:-1]))
-    return Subspace(np.round(rows * 2.0**bits) if bits else rows, m.mean, energy / energy.sum(), 0.0, bias, "dc", bits)
+    energy = energy / energy.sum()
+    some = _enough(energy, share)
+    return Subspace((np.round(rows * 2.0**bits) if bits else rows)[:some], m.mean, energy[:some], 0.0, bias, "dc", bits)
+
+
+def _enough(energy: np.ndarray, share: float | None) -> int:
+    """How many leading energies it takes for their sum to exceed a share; all without one."""
+    return len(energy) if share is None else min(len(energy), int(np.searchsorted(np.cumsum(energy), share, side="right")) + 1)
 
 
 def transform(df: DataFrame, model: Subspace, column: str, out: str = "features", inverse: bool = False) -> DataFrame:
@@ -270,13 +289,19 @@ class Node:
 
 @dataclass
 class HopTree:
-    """Layers of nodes. ``keep``: channels of at least this energy are inputs of the next layer; ``discard``: channels below it are removed."""
+    """Layers of nodes. ``keep``: what a channel must reach to be an input of the next layer; ``discard``: channels below this energy are removed.
+
+    ``split`` says what must reach ``keep``: the channel's own energy (``energy``); that over the share of the first principal direction of its mean-free windows (``ratio``); or, exceeding it, the mean over
+    its windows of their mean magnitude over that of their first entry (``mean_abs``). ``retain``: kernels of each layer's models, in place of those of the hops.
+    """
 
     hops: Sequence[Hop]
     shape: tuple[int, int, int]
     keep: float = 0.01
     discard: float = 0.005
     layers: list[list[Node]] = field(default_factory=list)
+    split: str = "energy"
+    retain: Sequence[int] | None = None
 
     def _inputs(self, layer: int) -> list[tuple[int, int] | None]:
         hop = self.hops[layer]
@@ -284,7 +309,41 @@ class HopTree:
             return [None]
         if layer == 0:
             return [(0, c) for c in range(self.shape[2])]
-        return [(i, j) for i, node in enumerate(self.layers[layer - 1]) for j in range(len(node.energy)) if node.energy[j] >= self.keep]
+        return [(i, j) for i, node in enumerate(self.layers[layer - 1]) for j in range(len(node.energy)) if self.split != "energy" or node.energy[j] >= self.keep]
+
+    def _mean_abs(self, df: DataFrame, column: str, layer: int, inputs: Sequence[tuple[int, int]]) -> dict[int, float]:
+        """Mean over each input's windows of their mean magnitude over that of their first entry; windows that begin with 0 are left out."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                tree = shared.value
+                images = matrix_of(b.column(column)).reshape(-1, *tree.shape)
+                maps = tree._maps(images, layer)
+                for i, parent in enumerate(inputs):
+                    p = np.abs(tree._patches(images, maps, layer, parent))
+                    p = p.reshape(-1, p.shape[-1])
+                    p = p[p[:, 0] > 0]
+                    yield pa.RecordBatch.from_pydict({"node": pa.array([i], pa.int32()), "n": [float(len(p))], "s": [float((p.mean(axis=1) / p[:, 0]).sum())]})
+
+        rows = df.select(column).mapInArrow(run, "node int, n double, s double").groupBy("node").agg((F.sum("s") / F.sum("n")).alias("m")).collect()  # one row per input
+        return {r["node"]: r["m"] or 0.0 for r in rows}
+
+    def _chosen(self, df: DataFrame, column: str, layer: int, inputs: Sequence[tuple[int, int] | None], found: dict[int, Moments]) -> list[int]:
+        """The inputs that get a model, by the modes that look at their windows."""
+        if layer == 0 or self.split == "energy" or None in inputs:
+            return list(range(len(inputs)))
+        if self.split == "mean_abs":
+            means = self._mean_abs(df, column, layer, inputs)
+            return [i for i in range(len(inputs)) if means.get(i, 0.0) > self.keep]
+        if self.split != "ratio":
+            raise ValueError(self.split)
+        out = []
+        for i, (node, channel) in enumerate(inputs):
+            values = principal(found[i].cov)[1]
+            if self.layers[layer - 1][node].energy[channel] / max(values[0] / max(values.sum(), 1e-300), 1e-300) >= self.keep:
+                out.append(i)
+        return out
 
     def _maps(self, images: np.ndarray, upto: int) -> list[list[np.ndarray]]:
         """Outputs of each node of each layer below ``upto``."""
@@ -324,12 +383,15 @@ class HopTree:
 
             found = moments(df.select(column), rows)
             nodes = []
-            for i, parent in enumerate(inputs):
-                m = from_moments(found[i], hop.kernels, biases[i])
+            for i in self._chosen(df, column, layer, inputs, found):
+                parent = inputs[i]
+                m = from_moments(found[i], self.retain[layer] if self.retain is not None else hop.kernels, biases[i])
                 energy = m.energy * (self.layers[layer - 1][parent[0]].energy[parent[1]] if layer and parent else 1.0)
                 some = energy >= self.discard
                 m.kernels, m.energy = m.kernels[some], m.energy[some]
                 nodes.append(Node(m, parent, energy[some]))
+            if not nodes:
+                break
             self.layers.append([n for n in nodes if len(n.energy)])
         return self
 
@@ -379,6 +441,25 @@ def least_squares_direction(df: DataFrame, columns: Sequence[str], label: str) -
     return np.linalg.lstsq(c[:k, :k], c[:k, k], rcond=None)[0]
 
 
+def two_way_groupings(classes: Sequence) -> list[tuple]:
+    """Every way to cut the classes in two, as the group that holds the first class; larger groups of early classes come first."""
+    first, *rest = sorted(classes)
+    subsets = [(first, *(c for c, inside in zip(rest, mask, strict=True) if inside)) for mask in product((True, False), repeat=len(rest))]
+    return subsets[1:]
+
+
+def grouped_directions(df: DataFrame, columns: Sequence[str], label: str, classes: Sequence) -> list[tuple[tuple, np.ndarray]]:
+    """(group, coefficients) of the centred least-squares fit of each two-way grouping of the label: one aggregation, with one indicator per class."""
+    k = len(columns)
+    hits = [F.coalesce((F.col(label) == F.lit(c)).cast("double"), F.lit(0.0)) for c in classes]
+    pairs = [F.covar_pop(a, b).alias(f"x{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    one = df.agg(*pairs, *[F.covar_pop(F.col(a), h).alias(f"y{i}_{c}") for i, a in enumerate(columns) for c, h in enumerate(hits)]).first()
+    xx = np.array([[one[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
+    xy = np.array([[one[f"y{i}_{c}"] for c in range(len(classes))] for i in range(k)], dtype=float)
+    at = {c: i for i, c in enumerate(classes)}
+    return [(g, np.linalg.lstsq(xx, xy[:, [at[c] for c in g]].sum(axis=1), rcond=None)[0]) for g in two_way_groupings(classes)]
+
+
 def projected(df: DataFrame, columns: Sequence[str], theta: Sequence[float], out: str = "projection") -> DataFrame:
     """Adds the projection of the columns, centred on this very data, along a direction."""
     means = df.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)])

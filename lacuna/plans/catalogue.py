@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import arrays as A
 from lacuna.functions import scalar as C
-from lacuna.operators import classify, evaluate, grid, joins, layers, modelled, ordering, ranking, sampling, separability, series, stats, subspace
+from lacuna.operators import evaluate, grid, joins, layers, modelled, ordering, ranking, sampling, separability, series, stats, subspace
+from lacuna.plans.registered import ORACLE_SQL, QUERIES, query
 from lacuna.plans.tables import FEATURES, GRID, LABELS, LONG, OBS, PIXELS, PROBS, SIDE, VARIABLES, episode_labels, images, observations, probabilities, r, rounded, table
+from lacuna.plans import catalogue_models, catalogue_series  # noqa: F401  they register queries too
 from lacuna.sources.episodes import EYE_OPENING
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -50,16 +38,6 @@ def obs_mask(spark, d):
     return series.with_mask(_grid(spark, d)).groupBy("episode_id", "var").agg(F.sum(F.col("mask").cast("long")).alias("observed"), F.count(F.lit(1)).alias("cells"))
 
 
-@query(f"SELECT event_id, {r('hour(ts) + minute(ts) / 60.0::DOUBLE')} AS hours FROM events")
-def hhmm_to_hours(spark, d):
-    return table(spark, d, "events").select("event_id", rounded(C.hhmm_to_hours(F.date_format("ts", "HH:mm"))).alias("hours"))
-
-
-@query("SELECT c_custkey, CAST(regexp_extract(c_name, '^Customer#0*([0-9]+)$', 1) AS INT) AS number FROM customer")
-def regex_key(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.regexp_extract("c_name", r"^Customer#0*([0-9]+)$", 1).cast("int").alias("number"))
-
-
 @query("SELECT o_orderkey, CASE WHEN lower(o_orderpriority) LIKE '%urgent%' THEN 3 WHEN lower(o_orderpriority) LIKE '%high%' THEN 2 WHEN lower(o_orderpriority) LIKE '%medium%' THEN 1 WHEN lower(o_orderpriority) LIKE '%low%' THEN 0 END AS code FROM orders")
 def cat_encode(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.encode_ordered(F.col("o_orderpriority"), (("urgent", 3), ("high", 2), ("medium", 1), ("low", 0))).alias("code"))
@@ -281,22 +259,6 @@ def left_pad(spark, d):
     return series.row_positions(observations(spark, d)).select("seq", "pos")
 
 
-@query(f"""WITH {OBS}, a AS (SELECT episode_id, var, list(v ORDER BY t, seq) AS a FROM obs GROUP BY ALL),
-p AS (SELECT episode_id, var, list_concat(list_transform(range(greatest(20 - len(a), 0)), lambda i: 0.0::DOUBLE), a[greatest(len(a) - 19, 1):]) AS s FROM a)
-SELECT episode_id, var, len(s)::INT AS n, {r('list_sum(s)')} AS total, s[1] AS first, s[20] AS last FROM p""")
-def padded_series(spark, d):
-    s = series.padded_series(observations(spark, d), 20, "left", 0.0)
-    return s.select("episode_id", "var", F.size("series").alias("n"), rounded(A.total(F.col("series"))).alias("total"), F.element_at("series", 1).alias("first"), F.element_at("series", 20).alias("last"))
-
-
-@query(f"""WITH {OBS}, a AS (SELECT episode_id, var, list(v ORDER BY t, seq) AS a FROM obs GROUP BY ALL), m AS (SELECT max(len(a)) AS most FROM a),
-p AS (SELECT episode_id, var, list_concat(list_transform(range(most - len(a)), lambda i: 0.0::DOUBLE), a) AS s FROM a, m)
-SELECT episode_id, var, len(s)::INT AS n, {r('list_sum(s)')} AS total, s[1] AS first, s[-1] AS last FROM p""")
-def padded_series_whole(spark, d):
-    s = series.padded_series(observations(spark, d), side="left", fill=0.0)
-    return s.select("episode_id", "var", F.size("series").alias("n"), rounded(A.total(F.col("series"))).alias("total"), F.element_at("series", 1).alias("first"), F.element_at("series", -1).alias("last"))
-
-
 @query("""WITH o AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT event_id, least(i // (n // 7), 6)::INT AS bin_id FROM o""")
 def equal_bins(spark, d):
     return ordering.equal_bins(table(spark, d, "events").select("event_id", "value"), [-F.col("value"), F.col("event_id")], 7).select("event_id", "bin_id")
@@ -346,7 +308,7 @@ def impute_kmeans(spark, d):
 
 @query()
 def impute_trees(spark, d):
-    return _cells(modelled.impute_trees(_grid(spark, d), VARIABLES, half=1, trees=5), "imputed")
+    return _cells(modelled.impute_trees(_grid(spark, d), VARIABLES, trees=10), "imputed")
 
 
 # ------------------------------------------------------------------ features
@@ -771,26 +733,6 @@ def grid_resize(spark, d):
 # ------------------------------------------------------------------ subspaces
 
 
-@query(f"WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS t FROM embeddings) SELECT vec_id, {r('t / 64 * 8')} AS dc FROM s")
-def saab_dc(spark, d):
-    img = images(spark, d)
-    out = subspace.transform(img, subspace.fit_saab(img, "image"), "image")
-    return out.select("vec_id", rounded(F.element_at("features", 1)).alias("dc"))
-
-
-@query()
-def saab_energy(spark, d):
-    m = subspace.fit_saab(images(spark, d), "image")
-    return spark.createDataFrame([(i, float(e)) for i, e in enumerate(m.energy)], "k int, energy double")
-
-
-@query("SELECT true AS exact")
-def saab_roundtrip(spark, d):
-    img = images(spark, d)
-    error = subspace.round_trip_error(img, subspace.fit_dc_saab(img, "image", use_dc=False), "image")
-    return error.select((F.col("max_error") < 1e-5).alias("exact"))
-
-
 @query()
 def pca_features(spark, d):
     img = images(spark, d)
@@ -817,60 +759,11 @@ def lnt_projection(spark, d):
     return subspace.projected(items, FEATURES, theta).select("l_orderkey", "l_linenumber", rounded(F.col("projection")).alias("projection"))
 
 
-@query("SELECT true AS exact, (1 + 4) * (4 * 4 + 4 + 1) AS parameters")
-def layer_roundtrip(spark, d):
-    stack = layers.LayerStack((subspace.Hop(2, channelwise=False), subspace.Hop(2)), (SIDE, SIDE, 1)).fit(images(spark, d), "image")
-    back = stack.apply(stack.apply(images(spark, d), "image", "f"), "f", "b", inverse=True)
-    worst = F.max(F.array_max(F.zip_with("image", "b", lambda x, y: F.abs(x - y))))
-    return back.agg((worst < 1e-5).alias("exact")).withColumn("parameters", F.lit(stack.parameters))
-
-
 @query(f"WITH {PIXELS} SELECT k::INT AS k, {r('var_pop(v)')} AS variance FROM px GROUP BY px.k")
 def coefficient_variance(spark, d):
     return layers.coefficient_variance(images(spark, d), "image").withColumn("variance", rounded(F.col("variance")))
 
 
-@query(f"WITH s AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS t FROM embeddings) SELECT vec_id, {r('t / 64 * 8')} AS dc FROM s")
-def global_saab(spark, d):
-    _, out = layers.global_transform(images(spark, d), "image", (SIDE, SIDE, 1), absolute=True)
-    return out.select("vec_id", rounded(F.element_at("features", 1)).alias("dc"))
-
-
-# ------------------------------------------------------------------ classifiers
-
-
-def _learn(spark, d):
-    feats = stats.features_wide(stats.simple_features(observations(spark, d), VARIABLES), VARIABLES)
-    rows = sampling.hash_split(joins.label_join(feats, episode_labels(spark, d)), "episode_id")
-    names = [f"{v}_{s}" for v in VARIABLES for s in _STATS]
-    return rows.where("split = 'train'"), rows.where("split <> 'train'"), names
-
-
-@query()
-def gbt_auroc(spark, d):
-    train, test, names = _learn(spark, d)
-    return classify.fit_and_test(train, test, names, "y", "gbt", maxIter=5)
-
-
-@query()
-def logistic_auroc(spark, d):
-    train, test, names = _learn(spark, d)
-    return classify.fit_and_test(train, test, names, "y", "logistic", maxIter=50)
-
-
-@query()
-def gbt_gains(spark, d):
-    train, _, names = _learn(spark, d)
-    return classify.gains(classify.fit(train, names, "y", "gbt", maxIter=5), names, spark)
-
-
-@query()
-def feature_sweep(spark, d):
-    train, test, names = _learn(spark, d)
-    best = [x["feature"] for x in ranking.ranked(ranking.split_losses(train, names, "y", 16)).orderBy("rank").collect()]
-    return classify.sweep(train, test, best, "y", (2, 5), "logistic", maxIter=20)
-
-
 # Codes of coma scale answers, over made-up answers.
 @query("WITH a AS (SELECT event_id, ['4 Spontaneously', 'To Speech', 'to pain', 'No Response', 'other'][(event_id % 5) + 1] AS x FROM events) SELECT event_id, CASE WHEN lower(x) LIKE '%respon%' THEN 0 WHEN lower(x) LIKE '%pain%' THEN 1 WHEN lower(x) LIKE '%speech%' THEN 2 WHEN lower(x) LIKE '%spont%' THEN 3 END AS code FROM a")
 def coma_scale_codes(spark, d):

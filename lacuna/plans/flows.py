@@ -27,7 +27,7 @@ def clean_icu(spark: SparkSession, records: str, outcomes: Sequence[str], out: s
     obs, static = episodes.read_icu_records(spark, records)
     labels = episodes.read_outcomes(spark, outcomes)
     # Labels are joined before anything is aggregated: unlabelled records never reach a shuffle of cells.
-    obs = joins.without_listed(obs.join(F.broadcast(labels.select("episode_id")), "episode_id", "left_semi"), episodes.ICU_BLACKLIST)
+    obs = joins.without_listed(obs.join(labels.select("episode_id"), "episode_id", "left_semi"), episodes.ICU_BLACKLIST)
     data = sampling.hash_split(finished(obs, episodes.ICU_VARIABLES, inverted_mask).withColumn("__n", F.xxhash64("episode_id")), "__n").drop("__n")
     data = durable(data)
     sinks.save_dataset(data, out, stats.metadata(data.where("split = 'train'")), "split")

@@ -23,12 +23,14 @@ DEFAULTS = {
 
 
 def build_session(app: str = "lacuna", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the defaults above; anything in ``conf`` wins over them."""
+    """A session with the defaults above, whose Python workers have this package; anything in ``conf`` wins over them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.driver.host", "127.0.0.1").config("spark.driver.memory", os.environ.get("LACUNA_DRIVER_MEMORY", "8g"))
-    return builder.config(map={**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}).getOrCreate()
+    spark = builder.config(map={**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}).getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:

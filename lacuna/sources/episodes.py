@@ -47,6 +47,8 @@ EYE_OPENING = (("respon", 0), ("pain", 1), ("speech", 2), ("spont", 3))
 MOTOR_RESPONSE = (("respon", 0), ("extens", 1), ("flex", 2), ("withd", 3), ("pain", 4), ("obey", 5))
 VERBAL_RESPONSE = (("respon", 0), ("trach", 0), ("incomp", 1), ("inap", 2), ("conf", 3), ("orient", 4))
 WEIGHT_BOUNDS = (0.0, 300.0)
+# Columns after the measurements of the second layout's files.
+HOURLY_REST = ("Age", "Gender", "Unit1", "Unit2", "HospAdmTime", "ICULOS", "SepsisLabel")
 
 
 def _file_stem() -> Column:
@@ -59,6 +61,11 @@ def read_icu_records(spark: SparkSession, paths: str | Sequence[str], variables:
     A first series row with a negative weight is dropped. Values of -1 stay in ``static`` as they are.
     """
     text = spark.read.text(list(paths) if not isinstance(paths, str) else paths, wholetext=True).select(_file_stem().alias("episode_id"), "value")
+    return icu_rows(text, variables, descriptors)
+
+
+def icu_rows(text: DataFrame, variables: Sequence[str] = ICU_VARIABLES, descriptors: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(series, static) of whole record files (episode_id, value)."""
     lines = text.select("episode_id", F.posexplode(F.split("value", r"\r?\n")).alias("line", "row")).where((F.col("line") >= 2) & (F.trim("row") != ""))
     part = F.split("row", ",")
     rows = lines.select("episode_id", (F.col("line") - 2).cast("long").alias("seq"), F.try_element_at(part, F.lit(1)).alias("time"), F.try_element_at(part, F.lit(2)).alias("var"), F.nanvl(F.try_element_at(part, F.lit(3)).try_cast("double"), F.lit(None)).alias("v"))
@@ -84,10 +91,14 @@ def read_hourly_records(spark: SparkSession, paths: str | Sequence[str], measure
     ``static`` has a row per episode: age, gender, unit_id, hosp_adm_time of its first row, icu_los and label of its last. Episodes whose unit flags contradict each other are left
     out of both.
     """
-    rest = ("Age", "Gender", "Unit1", "Unit2", "HospAdmTime", "ICULOS", "SepsisLabel")
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in (*measurements, *rest)])
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in (*measurements, *HOURLY_REST)])
     raw = spark.read.csv(list(paths) if not isinstance(paths, str) else paths, schema=schema, sep="|", header=True, nanValue="NaN", mode="PERMISSIVE")
-    rows = nan_to_null(raw.select(_file_stem().alias("episode_id"), "*")).where(F.col("ICULOS").isNotNull())
+    return hourly_rows(raw.select(_file_stem().alias("episode_id"), "*"), measurements)
+
+
+def hourly_rows(raw: DataFrame, measurements: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(series, static) of the rows of hourly files, with their ``episode_id``."""
+    rows = nan_to_null(raw).where(F.col("ICULOS").isNotNull())
     first = lambda c: F.min_by(F.struct(F.col(c).alias("x")), "ICULOS")["x"]
     last = lambda c: F.max_by(F.struct(F.col(c).alias("x")), "ICULOS")["x"]
     static = rows.groupBy("episode_id").agg(first("Age").cast("int").alias("age"), first("Gender").cast("int").alias("gender"), first("Unit1").alias("u1"), first("Unit2").alias("u2"), first("HospAdmTime").alias("hosp_adm_time"), F.max("ICULOS").alias("icu_los"), last("SepsisLabel").cast("int").alias("label"))
@@ -112,7 +123,12 @@ def encode_episode_feature(name: str, c: Column) -> Column:
 
 def read_episode_files(spark: SparkSession, paths: str | Sequence[str], features: Sequence[str] = tuple(n for n, _ in EPISODE_FEATURES)) -> DataFrame:
     """Series of ``<subject>_episode<n>_timeseries.csv`` files; columns are taken by name, in any order; files of other names are left out."""
-    raw = normalise_names(spark.read.csv(list(paths) if not isinstance(paths, str) else paths, header=True, inferSchema=False).select("*", F.col("_metadata.file_name").alias("file_name")))
+    return episode_rows(spark.read.csv(list(paths) if not isinstance(paths, str) else paths, header=True, inferSchema=False).select("*", F.col("_metadata.file_name").alias("file_name")), features)
+
+
+def episode_rows(raw: DataFrame, features: Sequence[str] = tuple(n for n, _ in EPISODE_FEATURES)) -> DataFrame:
+    """Series of the text columns of episode files, with their ``file_name``."""
+    raw = normalise_names(raw)
     subject, episode = (F.regexp_extract("file_name", r"(\d+)_episode(\d+)_timeseries\.csv", i) for i in (1, 2))
     rows = raw.where(subject != "").select(F.concat_ws("_", subject.cast("long").cast("string"), F.concat(F.lit("episode"), episode.cast("int").cast("string"))).alias("episode_id"), F.col("hours").try_cast("double").alias("t"), *[encode_episode_feature(f, F.col(f)).alias(f) for f in features if f in raw.columns])
     long = rows.unpivot(["episode_id", "t"], [f for f in features if f in raw.columns], "var", "v")

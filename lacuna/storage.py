@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and all tasks run on this machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lacuna_shared", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         path = tempfile.mkdtemp(prefix="lacuna-")
         spark._lacuna_shared = path
     return path

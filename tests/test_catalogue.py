@@ -6,9 +6,6 @@ from oracle import rows_of, rows_of_sql
 import __spark_entry__ as entry
 from lacuna.plans.catalogue import ORACLE_SQL, QUERIES
 
-SLOW = {"impute_kmeans", "impute_trees", "pool_min_ce", "feature_sweep", "gbt_auroc", "logistic_auroc", "gbt_gains"}
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "y" in df.columns
@@ -24,6 +21,6 @@ def test_equals_sql(spark, sf, name):
     assert rows_of(QUERIES[name](spark, sf)) == rows_of_sql(ORACLE_SQL[name], sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
