@@ -146,9 +146,9 @@ class Shapes:
         if len(words) > CACHE:
             words.clear()
         part, patterns, low = piece.split(), classes_of(piece).split(), piece.lower().split()
-        for c in set(patterns) - cache.keys():
+        for c in [c for c in set(patterns) if c not in cache]:
             cache[c] = zlib.crc32(shape(c.decode("utf-8", "surrogatepass")).encode("utf-8", "surrogatepass")) << 2
-        for w in set(low) - words.keys():
+        for w in [w for w in set(low) if w not in words]:
             words[w] = xxhash.xxh64_intdigest(w, 5)
         n = len(part)
         shapes = np.fromiter(map(cache.__getitem__, patterns), dtype=np.uint64, count=n)
