@@ -45,11 +45,15 @@ _INNER = "UlNh"
 
 
 class _Classes(dict):
-    """Characters beyond ASCII by their class, learnt as they come: U, l, N as above, h for letters without case and marks; signs and blanks stay."""
+    """Characters by their class, learnt as they come: U, l, N as above, h for letters without case and marks; signs and blanks stay."""
 
     def __missing__(self, c: int) -> int:
-        kind = unicodedata.category(chr(c)) if c >= 0x80 else "-"
-        self[c] = found = ord({"Lu": "U", "Lt": "U", "Ll": "l"}.get(kind) or {"L": "h", "M": "h", "N": "N"}.get(kind[0]) or chr(c))
+        if c < 0x80:
+            found = _CLASS[c]
+        else:
+            kind = unicodedata.category(chr(c))
+            found = ord({"Lu": "U", "Lt": "U", "Ll": "l"}.get(kind) or {"L": "h", "M": "h", "N": "N"}.get(kind[0]) or chr(c))
+        self[c] = found
         return found
 
 
@@ -58,9 +62,9 @@ _CLASSES = _Classes()
 
 def classes_of(piece: bytes) -> bytes:
     """A piece with each character's class in its place; white space stays."""
-    if not piece.isascii():
-        piece = piece.decode("utf-8", "surrogatepass").translate(_CLASSES).encode("utf-8", "surrogatepass")
-    return piece.translate(_CLASS)
+    if piece.isascii():
+        return piece.translate(_CLASS)
+    return piece.decode("utf-8", "surrogatepass").translate(_CLASSES).encode("utf-8", "surrogatepass")
 
 
 def shape(classes: str) -> str:
