@@ -176,46 +176,83 @@ def lloyd_1d(x: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
     return c
 
 
-def lloyd_max(df: DataFrame, value: str, bins: int, rounds: int = 20) -> list[float]:
-    """Boundaries of the Lloyd-Max quantiser of a column: midpoints of its sorted centroids, with infinite ends.
+def _histogram(long: DataFrame) -> DataFrame:
+    """(feature, x, c, n) of rows (feature, x, c): distinct values counted once and kept."""
+    return durable(long.where(F.col("x").isNotNull()).groupBy("feature", F.col("x").cast("double").alias("x"), "c").agg(F.count(F.lit(1)).cast("double").alias("n")))
 
-    Distinct values are counted once and kept; each round is one aggregation of these on the executors that returns ``bins`` sums, and only centroids reach the driver.
-    """
-    counted = durable(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n")))
-    lo, hi = counted.agg(F.min("x"), F.max("x")).first()
-    if lo is None or lo == hi:
-        return [float("-inf"), float("inf")]
-    c = np.linspace(lo, hi, bins)
+
+def _quantisers(counted: DataFrame, bins: int, rounds: int) -> dict[str, np.ndarray]:
+    """Lloyd-Max centroids of every feature of a histogram. A round is one aggregation for all features that still move; only centroids reach the driver. Constant features have none."""
+    lim = counted.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # one row per feature
+    span = {r["feature"]: r["hi"] - r["lo"] for r in lim if r["lo"] < r["hi"]}
+    c = {r["feature"]: np.linspace(r["lo"], r["hi"], bins) for r in lim if r["feature"] in span}
+    moving = set(c)
     for _ in range(rounds):
-        edges = ((c[1:] + c[:-1]) / 2).tolist()
-        b = sum((F.when(F.col("x") >= e, 1).otherwise(0) for e in edges), F.lit(0))
-        got = {r["b"]: r["m"] for r in counted.groupBy(b.alias("b")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m")).collect()}
-        new = np.sort(np.array([got.get(i, c[i]) for i in range(bins)]))
-        if np.abs(new - c).max() < 1e-9 * max(1.0, abs(hi - lo)):
+        if not moving:
             break
-        c = new
-    return [float("-inf"), *((c[1:] + c[:-1]) / 2).tolist(), float("inf")]
+        edges = F.create_map(*[x for f in sorted(moving) for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in (c[f][1:] + c[f][:-1]) / 2]))])
+        here = counted.where(F.col("feature").isin(sorted(moving)))
+        b = F.size(F.filter(F.element_at(edges, F.col("feature")), lambda e: F.col("x") >= e))
+        got: dict[str, dict[int, float]] = {}
+        for r in here.groupBy("feature", b.alias("b")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m")).collect():  # features x bins rows
+            got.setdefault(r["feature"], {})[r["b"]] = r["m"]
+        for f in sorted(moving):
+            new = np.sort(np.array([got[f].get(i, c[f][i]) for i in range(bins)]))
+            if np.abs(new - c[f]).max() < 1e-9 * max(1.0, span[f]):
+                moving.discard(f)
+            else:
+                c[f] = new
+    return c
 
 
-def kmeans_bin_entropy(df: DataFrame, value: str, label: str, classes: int, bins: int) -> DataFrame:
-    """One row: entropy and cross-entropy of class shares in the bins of the Lloyd-Max quantiser, weighted by rows. 0 if pure, -1 with fewer rows than bins."""
-    edges = lloyd_max(df, value, bins)[1:-1]
-    b = sum((F.when(F.col(value) >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    counts = df.groupBy(b.alias("bin"), F.col(label).alias("c")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    p = F.col("n") / F.sum("n").over(Window.partitionBy("bin"))
-    h = counts.withColumn("h", -F.col("n") * F.ln(p)).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
+def lloyd_max(df: DataFrame, value: str, bins: int, rounds: int = 20) -> list[float]:
+    """Boundaries of the Lloyd-Max quantiser of a column: midpoints of its sorted centroids, with infinite ends."""
+    c = _quantisers(_histogram(df.select(F.lit(value).alias("feature"), F.col(value).alias("x"), F.lit(0).alias("c"))), bins, rounds).get(value)
+    return [float("-inf"), float("inf")] if c is None else [float("-inf"), *((c[1:] + c[:-1]) / 2).tolist(), float("inf")]
+
+
+def kmeans_bin_entropy_all(long: DataFrame, classes: int, bins: int, rounds: int = 20) -> DataFrame:
+    """(feature, entropy, cross_entropy) of rows (feature, x, c): class shares in the bins of each feature's Lloyd-Max quantiser, weighted by rows. 0 if pure, -1 with fewer rows than bins."""
+    counted = _histogram(long)
+    c = _quantisers(counted, bins, rounds)
+    edges = F.create_map(F.lit(""), F.array().cast("array<double>"), *[x for f, m in sorted(c.items()) for x in (F.lit(f), F.array(*[F.lit(float(e)) for e in (m[1:] + m[:-1]) / 2]))])
+    b = F.size(F.filter(F.coalesce(F.element_at(edges, F.col("feature")), F.array().cast("array<double>")), lambda e: F.col("x") >= e))
+    counts = counted.groupBy("feature", b.alias("bin"), "c").agg(F.sum("n").alias("n"))
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("feature", "bin"))
+    h = counts.withColumn("h", -F.col("n") * F.ln(p))
     value = F.sum("h") / F.sum("n") / F.ln(F.lit(float(classes)))
     few = F.sum("n") < bins
-    return h.agg(F.when(few, -1.0).when(F.countDistinct("c") <= 1, 0.0).otherwise(value).alias("entropy"), F.when(few, -1.0).otherwise(value).alias("cross_entropy"))
+    return h.groupBy("feature").agg(F.when(few, -1.0).when(F.countDistinct("c") <= 1, 0.0).otherwise(value).alias("entropy"), F.when(few, -1.0).otherwise(value).alias("cross_entropy"))
+
+
+def kmeans_bin_entropy(df: DataFrame, value: str, label: str, classes: int, bins: int) -> DataFrame:
+    """One row: :func:`kmeans_bin_entropy_all` of one column."""
+    return kmeans_bin_entropy_all(df.select(F.lit(value).alias("feature"), F.col(value).alias("x"), F.col(label).alias("c")), classes, bins).drop("feature")
+
+
+def bin_cross_entropy_all(long: DataFrame, classes: int, bins: int) -> DataFrame:
+    """(feature, score) of rows (feature, x, c): :func:`bin_cross_entropy` of every feature in one pass."""
+    rows = long.where(F.col("x").isNotNull())
+    lim = rows.groupBy("feature").agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))  # one row per feature
+    counts = rows.join(F.broadcast(lim), "feature").groupBy("feature", F.when(F.col("__lo") < F.col("__hi"), equal_width_bin(F.col("x"), F.col("__lo"), F.col("__hi"), bins)).otherwise(0).alias("bin"), F.col("c").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.withColumn("t", F.sum("n").over(Window.partitionBy("feature", "c")))
+    best = shares.groupBy("feature", "bin").agg(F.max(F.struct((F.col("n") / F.col("t")).alias("s"), (-F.col("c")).alias("c"))).alias("b"))
+    won = best.groupBy("feature", (-F.col("b.c")).alias("c")).agg(F.count(F.lit(1)).alias("won"))
+    # Bins without rows go to class 0.
+    empty = best.groupBy("feature").agg((F.lit(bins) - F.count(F.lit(1))).alias("empty"))
+    per = counts.groupBy("feature", "c").agg(F.sum("n").alias("n")).join(won, ["feature", "c"], "left").join(empty, "feature")
+    p = (F.coalesce("won", F.lit(0)) + F.when(F.col("c") == 0, F.col("empty")).otherwise(0)) / F.lit(float(bins))
+    h = per.withColumn("h", F.col("n") * (-F.log10(p + F.lit(1e-5)) / F.log10(F.lit(float(classes)))))
+    return h.groupBy("feature").agg((F.sum("h") / F.sum("n") / F.lit(float(classes))).alias("score"))
 
 
 def all_feature_scores(df: DataFrame, features: Sequence[str], label: str, classes: int, bins: int, mode: str = "bin2") -> DataFrame:
-    """(feature, score) of every feature: ``bin2`` in one pass; ``bin`` and ``kmeans`` a feature at a time."""
+    """(feature, score) of every feature, in passes over all of them: modes ``bin``, ``bin2`` and ``kmeans``."""
+    long = unpivoted(df.withColumn("c", F.col(label)), features, "c")
     if mode == "bin2":
-        return bin_cross_entropy2_all(unpivoted(df.withColumn("c", F.col(label)), features, "c"), classes)
-    one = {"bin": lambda f: bin_cross_entropy(df, f, label, classes, bins).select(F.col("bin_ce").alias("score")), "kmeans": lambda f: kmeans_bin_entropy(df, f, label, classes, bins).select(F.col("cross_entropy").alias("score"))}[mode]
-    out = None
-    for f in features:
-        part = one(f).select(F.lit(f).alias("feature"), "score")
-        out = part if out is None else out.union(part)
-    return out
+        return bin_cross_entropy2_all(long, classes)
+    if mode == "bin":
+        return bin_cross_entropy_all(long, classes, bins)
+    if mode == "kmeans":
+        return kmeans_bin_entropy_all(long, classes, bins).select("feature", F.col("cross_entropy").alias("score"))
+    raise ValueError(mode)

@@ -555,6 +555,22 @@ def all_feature_scores(spark, d):
     return separability.all_feature_scores(_items(spark, d), FEATURES, "c", 3, 10, "bin2").withColumn("score", rounded(F.col("score")))
 
 
+_ALL_BINS = f"""{LONG}, lim AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM long GROUP BY 1), b AS (SELECT feature, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, least(floor((x - lo) / (hi - lo) * 10)::INT, 9) AS bin FROM long JOIN lim USING (feature)),
+n AS (SELECT feature, bin, c, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT feature, c, sum(n) AS t FROM n GROUP BY ALL), f AS (SELECT DISTINCT feature FROM n),
+dom AS (SELECT f.feature, i, coalesce(arg_max(c, (n / t, -c)), 0) AS c FROM f, range(10) r(i) LEFT JOIN (SELECT * FROM n JOIN t USING (feature, c)) z ON z.bin = i AND z.feature = f.feature GROUP BY ALL),
+p AS (SELECT feature, c, count(*) / 10.0::DOUBLE AS p FROM dom GROUP BY ALL)"""
+
+
+@query(f"WITH {_ALL_BINS} SELECT t.feature, {r('sum(t * (-log10(coalesce(p, 0) + 1e-5) / log10(3))) / sum(t) / 3')} AS score FROM t LEFT JOIN p ON p.feature = t.feature AND p.c = t.c GROUP BY t.feature")
+def all_feature_bin_scores(spark, d):
+    return separability.all_feature_scores(_items(spark, d), FEATURES, "c", 3, 10, "bin").withColumn("score", rounded(F.col("score")))
+
+
+@query()
+def all_feature_kmeans_scores(spark, d):
+    return separability.all_feature_scores(_items(spark, d), FEATURES, "c", 3, 8, "kmeans")
+
+
 # ------------------------------------------------------------------ evaluation
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna import storage
-from lacuna.operators import classify, evaluate, modelled, ranking, series, subspace
+from lacuna.operators import classify, evaluate, modelled, ranking, separability, series, subspace
 from lacuna.operators.subspace import Hop, HopTree
 
 
@@ -137,3 +137,21 @@ def test_shared_folder_is_needed_off_one_machine():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_quantisers_of_all_features_equal_single_ones(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(float(a), float(b), 1.0, int(c)) for a, b, c in zip(rng.normal(size=300), rng.exponential(size=300), rng.integers(0, 3, 300), strict=True)], "a double, b double, k double, c int")
+    together = {r["feature"]: r["score"] for r in separability.all_feature_scores(df, ["a", "b", "k"], "c", 3, 5, "kmeans").collect()}
+    for f in ("a", "b"):
+        assert together[f] == pytest.approx(separability.kmeans_bin_entropy(df, f, "c", 3, 5).first()["cross_entropy"])
+        x = np.array([r[f] for r in df.collect()])
+        want = separability.lloyd_1d(x, 5, 20)
+        assert separability.lloyd_max(df, f, 5)[1:-1] == pytest.approx(list((want[1:] + want[:-1]) / 2))
+    shares = np.bincount([r["c"] for r in df.collect()]) / 300
+    assert together["k"] == pytest.approx(-(shares * np.log(shares)).sum() / np.log(3))
+    bins = {r["feature"]: r["score"] for r in separability.all_feature_scores(df, ["a", "b"], "c", 3, 5, "bin").collect()}
+    for f in ("a", "b"):
+        assert bins[f] == pytest.approx(separability.bin_cross_entropy(df, f, "c", 3, 5).first()["bin_ce"])
+    with pytest.raises(ValueError):
+        separability.all_feature_scores(df, ["a"], "c", 3, 5, "odd")
