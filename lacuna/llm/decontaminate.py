@@ -6,7 +6,7 @@ is hit. A window's 64-bit hash finds candidates, a comparison of its word ids ve
 
 The test set is read in blocks of at most ``block_bytes`` of text; each block makes one broadcast of a size that this parameter
 bounds, and one pass over the documents. A benchmark within one block (any usual one) costs one pass and no shuffle; a larger one costs a pass
-per block, with the partial hits of each pass written to the shared folder.
+per block, and what is found by each but the last is written to the shared folder, by a digest of the text: documents themselves are never written or, but for the few with hits, shuffled.
 
 Defined cases: null or wordless texts have no words and no hits; an item that is null or wordless has no windows; items with a null id
 mark words but are not listed; repeated item ids count once; an empty benchmark leaves every document clean; columns of the
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lacuna.llm.common import arrow_map, read_table, scratch, spread
+from lacuna.llm.common import arrow_map, maybe_listed, read_table, scratch, spread
 
 N = 10
 BLOCK_BYTES = 4 << 20
@@ -187,27 +187,43 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     spark = docs.sparkSession
     out = docs.drop(*RESULT)
     carried = out.columns
-    schema = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), *T._parse_datatype_string(f"hit_spans {SPANS}, hit_items array<string>").fields])
-    last = None
-    for block in blocks_of(items, item, item_text, block_bytes):
-        if last is not None:  # more than one block: what the last pass found goes to the shared folder
-            last.write.parquet(path := scratch(spark, "contamination"))
-            out = spark.read.parquet(path)
+    result = T._parse_datatype_string(f"n_words bigint, hit_spans {SPANS}, hit_items array<string>").fields
+    blocks, path = blocks_of(items, item, item_text, block_bytes), None
+    block = next(blocks)
+    for following in blocks:  # more than one block: what each but the last finds goes to the shared folder, by a digest of the text
+        path = path or scratch(spark, "contamination")
         shared = spark.sparkContext.broadcast(WindowSet(block, n))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, more=last is not None) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(text).cast(pa.binary()).to_pylist()
-                n_words, spans, found = scan_batch(texts, windows)
-                if more:
-                    spans = [_merge(a, b) for a, b in zip(batch.column("hit_spans").to_pylist(), spans, strict=True)]
-                    found = [sorted({*a, *b}) for a, b in zip(batch.column("hit_items").to_pylist(), found, strict=True)]
-                arrays = [*(batch.column(c) for c in carried), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *RESULT])
-
-        last = arrow_map(out, scan, schema)
-    return last
+                _, spans, found = scan_batch(batch.column("text").cast(pa.binary()).to_pylist(), shared.value)
+                some = pa.array([bool(s) for s in spans], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, _SPANS_ARROW), pa.array(found, pa.list_(pa.string()))], names=["key", "hit_spans", "hit_items"]).filter(some)
+
+        keyed = out.select(F.md5(F.col(text).cast("binary")).alias("key"), F.col(text).alias("text"))
+        arrow_map(keyed, hits, f"key string, hit_spans {SPANS}, hit_items array<string>").write.mode("append").parquet(path)
+        block = following
+    shared = spark.sparkContext.broadcast(WindowSet(block, n))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, spans, found = scan_batch(batch.column(text).cast(pa.binary()).to_pylist(), shared.value)
+            if "__found" in batch.schema.names:
+                for i, earlier in enumerate(batch.column("__found").to_pylist()):
+                    for more in earlier or ():
+                        spans[i], found[i] = _merge(spans[i], more["hit_spans"]), sorted({*found[i], *more["hit_items"]})
+            arrays = [*(batch.column(c) for c in carried), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS_ARROW), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *RESULT])
+
+    schema = T.StructType([*out.schema.fields, *result])
+    if path is None:
+        return arrow_map(out, scan, schema)
+    # Only documents that may have hits of earlier blocks are joined with these.
+    earlier = spark.read.parquet(path)
+    marked = maybe_listed(out.withColumn("__key", F.md5(F.col(text).cast("binary"))), "__key", earlier.select("key"))
+    found = earlier.groupBy("key").agg(F.collect_set(F.struct("hit_spans", "hit_items")).alias("__found"))
+    listed = marked.where("__listed").join(found.withColumnRenamed("key", "__key"), "__key", "left")
+    return arrow_map(marked.where("not __listed").select(*carried), scan, schema).unionByName(arrow_map(listed.select(*carried, "__found"), scan, schema))
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
