@@ -58,9 +58,9 @@ def maybe_listed(df: DataFrame, columns: str | Sequence[str], ids: DataFrame) ->
     columns = [columns] if isinstance(columns, str) else columns
     # One row for each 32768 bits of the map.
     place = F.pmod(F.xxhash64(*ids.columns), F.lit(FILTER_BITS))
-    maps = ids.select(F.bitmap_bucket_number(place).alias("__own"), F.bitmap_bit_position(place).alias("__bit")).groupBy("__own").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    maps = ids.select(F.bitmap_bucket_number(place).alias("__map"), F.bitmap_bit_position(place).alias("__bit")).groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
     own = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
-    joined = df.withColumn("__bit", F.bitmap_bit_position(own)).join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("__own"), "left")
+    joined = df.withColumn("__bit", F.bitmap_bit_position(own)).join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("__map"), "left")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     listed = F.coalesce(F.getbit(byte, F.pmod("__bit", F.lit(8)).cast("int")) == 1, F.lit(False))
-    return joined.withColumn("__listed", listed).drop("__bit", "__bits", "__own")
+    return joined.withColumn("__listed", listed).drop("__bit", "__bits", "__map")

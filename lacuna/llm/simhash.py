@@ -523,13 +523,16 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     kept = groups.groupBy("component").agg(first).select("first.doc_id", "first.key")
     often = groups.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("__often"))
     kept = cut(kept.join(often, kept["doc_id"].eqNullSafe(often["doc_id"])).select(kept["doc_id"].alias("__kept"), F.col("key").alias("__key"), "__often"))
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__kept"))
-    once = docs.join(kept.where("not __often").select("__kept"), same, "left_semi")
+    # Most documents are kept, and their ids occur once: only the others, and few that a bitmap takes for them, are joined with their texts.
+    others = cut(often.join(kept.where("not __often").select("__kept"), often["doc_id"].eqNullSafe(F.col("__kept")), "left_anti").select("doc_id"))
+    marked = maybe_listed(docs.withColumn("__own", F.col(doc_id).cast("long")), "__own", others)
+    unsure, same = marked.where("__listed").select(*docs.columns), F.col(doc_id).cast("long").eqNullSafe(F.col("__kept"))
+    once = marked.where("not __listed").select(*docs.columns).unionByName(unsure.join(kept.where("not __often").select("__kept"), same, "left_semi"))
     keys = kept.where("__often")
     if keys.isEmpty():
         return once
     # Rows of repeated ids are told apart by their texts, and of equal ones any is kept.
-    rows = docs.join(keys.select("__kept").distinct(), same, "left_semi")
+    rows = unsure.join(keys.select("__kept").distinct(), same, "left_semi")
     found = arrow_map(rows.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")).distinct(), lambda batches: _keyed(batches, k), "__id long, __text string, __key binary")
     found = found.join(keys.withColumnRenamed("__key", "__want"), F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__key") == F.col("__want"))).groupBy("__id", "__want").agg(F.min("__text").alias("__text"))
     exact = rows.join(found.select("__id", "__text"), F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & F.col(text).eqNullSafe(F.col("__text")))

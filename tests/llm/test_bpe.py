@@ -60,3 +60,20 @@ def test_query_rows(spark, library):
     assert bpe.encoding_digests(df.limit(0), bpe.default_path()).count() == 0
     both = bpe.decode_ids(bpe.encode_texts(df, bpe.default_path()), bpe.default_path())
     assert both.where("doc_id = 4").first()["decoded"] == library.decode(library.encode(TEXTS[4], add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_pieces_of_any_script(library, monkeypatch):
+    """Long texts are cut before white space in every script; ids are those of the library."""
+    rng = random.Random(9)
+    parts = ["日本語", "тест", "ΑΣ", "Σ", "é", "é", "́", "ﬁ", "123", "x'll", "<|endoftext|>", "हिन्दी", "‍", "İ", "a" * 40, "…", "\U0001f600", "ß", "\x85", "\xa0"]
+    enc = bpe.Encoder(bpe.default_path())
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", "  ", " \n\t"]) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    for size in (5, 17, 64):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        for t in texts:
+            pieces = list(enc.pieces(t))
+            assert "".join(pieces) == t
+            assert enc.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, t
+    monkeypatch.setattr(bpe, "PIECE", 1000)
+    long = "слово и ещё одно, " * 2000
+    assert max(map(len, enc.pieces(long))) <= 1000
